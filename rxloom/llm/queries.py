@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rxloom.llm.mixing import mix_choice, share_report, with_shares
+from rxloom.llm.names import firm_pairs, link_names
 from rxloom.llm.packing import pack_documents, packing_report
 from rxloom.llm.quality import document_statistics
 from rxloom.llm.tokens import with_token_counts
@@ -54,5 +55,19 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return share_report(mix_choice(sized_documents(spark, d), targets, table(spark, d, "documents").count()), targets)
 
 
-QUERIES = {f.__name__: f for f in (p10_found, p10_statistics, p8_packing, p8_tiers, p8_unused, p9_choice, p9_shares)}
+def linked_names(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "company_names")
+    return link_names(names, names.count())
+
+
+def p5_firms(spark: SparkSession, d: str) -> DataFrame:
+    """Every name with the id of its firm."""
+    return linked_names(spark, d)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return firm_pairs(linked_names(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_firms, p10_found, p10_statistics, p8_packing, p8_tiers, p8_unused, p9_choice, p9_shares)}
 SQL: dict[str, str] = {}
