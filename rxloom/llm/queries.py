@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rxloom.llm.entities import match
 from rxloom.llm.mixing import mix_choice, share_report, with_shares
 from rxloom.llm.names import firm_pairs, link_names
 from rxloom.llm.packing import pack_documents, packing_report
@@ -69,5 +70,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return firm_pairs(linked_names(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_firms, p10_found, p10_statistics, p8_packing, p8_tiers, p8_unused, p9_choice, p9_shares)}
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The drug of each line with its confidence."""
+    names = table(spark, d, "company_names")
+    return match(table(spark, d, "old_extract"), table(spark, d, "drugproduct"), table(spark, d, "activeingredient"), names, names.count())
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_matches(spark, d).select("drug_code", "line_key")
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_firms, p7_found, p7_matches, p10_found, p10_statistics, p8_packing, p8_tiers, p8_unused, p9_choice, p9_shares)}
 SQL: dict[str, str] = {}
