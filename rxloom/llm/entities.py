@@ -173,7 +173,7 @@ def similarity(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
         *pairs.columns, F.greatest(brands(F.col("a_brand"), F.col("b_brand")), brands(F.col("a_whole"), F.col("b_whole"))).alias("brand_sim"),
         F.when(known & (F.col("a_firm") == F.col("b_firm")), 1.0).when((F.col("a_firm_key") != "") & (F.col("b_firm_key") != ""), F.lit(0.8) * text(F.col("a_firm_key"), F.col("b_firm_key"))).alias("firm_sim"),
         amounts(F.col("a_strengths"), F.col("b_strengths")).alias("strength_sim"), sets(F.col("a_molecules"), F.col("b_molecules")).alias("molecule_sim"),
-        F.coalesce((F.col("a_form") == F.col("b_form")).cast("int"), F.lit(0)).alias("same_form"), (F.contains("b_strengths", F.lit("?")) & (F.col("a_strengths") != "")).alias("open"),
+        F.coalesce((F.col("a_form") == F.col("b_form")).cast("int"), F.lit(0)).alias("same_form"), (F.contains("b_strengths", F.lit("?")) & (F.col("a_strengths") != "")).alias("open"), (F.col("a_strengths") == "").alias("bare"),
     )
 
 
@@ -248,7 +248,7 @@ def match(sales: DataFrame, catalogue: DataFrame, ingredients: DataFrame, names:
     """(line_key, drug_code, posterior, brand_sim, firm_sim, strength_sim, molecule_sim): the best drug of each line.
 
     A match has the highest posterior of its line, at least 1/2, and passes an exact check: same strengths (a
-    drug's unusable ones may be any), brands that share most letters (half where all else agrees), firms that don't
+    drug's unusable ones may be any, and a line without any takes the only drug of its brand), brands that share most letters (half where all else agrees), firms that don't
     contradict. Ties go to the drug in the same dosage form, then to
     the smallest code. Lines or drugs without brand, or without both firm and strength, match nothing. Empty tables give
     no rows.
@@ -285,10 +285,12 @@ def match(sales: DataFrame, catalogue: DataFrame, ingredients: DataFrame, names:
     firm_fits = (F.col("firm_sim") == 1) | (F.col("firm_sim").isNull() & (F.col("brand_sim") >= F.when(F.col("molecule_sim") == 1, 0.7).otherwise(0.9)))
     # where firm, strengths and molecules are the same, half of the brand's letters are enough
     same = F.coalesce((F.col("firm_sim") == 1) & (F.col("molecule_sim") == 1), F.lit(False))
-    strong = F.coalesce(F.col("strength_sim") == 1, F.col("open") & same & (F.col("brand_sim") >= 0.75))
+    alike = same & (F.col("brand_sim") >= 0.75)
+    strong = F.coalesce(F.col("strength_sim") == 1, F.col("open") & alike, F.lit(False)) | (F.col("bare") & alike & (F.col("family") == 1))
     sure = strong & (F.col("brand_sim") >= F.when(same, 0.5).otherwise(0.7)) & firm_fits
     best = (
-        scored.where(sure)
+        scored.withColumn("family", F.sum(alike.cast("int")).over(Window.partitionBy("a")))
+        .where(sure)
         .withColumn("p_line", F.sum("p").over(Window.partitionBy("a")))
         .groupBy("a")
         .agg(F.max_by(F.struct("b", F.col("p_line").alias("posterior"), *FEATURES), F.struct(F.round("p", 6), "same_form", "brand_sim", -F.col("b"))).alias("m"))

@@ -9,6 +9,7 @@ from rxloom.llm.mixing import mix_choice, share_report, with_shares
 from rxloom.llm.names import firm_pairs, link_names
 from rxloom.llm.packing import pack_documents, packing_report
 from rxloom.llm.quality import document_statistics
+from rxloom.llm.scans import repair
 from rxloom.llm.tokens import with_token_counts
 from rxloom.session import cut
 from rxloom.sources.tables import table
@@ -80,5 +81,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_matches(spark, d).select("drug_code", "line_key")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_firms, p7_found, p7_matches, p10_found, p10_statistics, p8_packing, p8_tiers, p8_unused, p9_choice, p9_shares)}
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return repair(table(spark, d, "piqray_pages"))
+
+
+def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired paragraphs of each monograph."""
+    return repair(table(spark, d, "piqray_pages"), paragraphs=True)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p5_found, p5_firms, p7_found, p7_matches, p10_found, p10_statistics, p8_packing, p8_tiers, p8_unused, p9_choice, p9_shares)}
 SQL: dict[str, str] = {}
