@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rxloom.session import cut
+
 HASHES = 3
 #: Cells of each sub-table of a bucket, and rows of the larger copy that a bucket is meant to hold.
 CELLS, ROWS_A_BUCKET = 96, 512
@@ -134,8 +136,9 @@ def compare_copies(left: DataFrame, right: DataFrame, fields: list[str], rows: i
     """
     buckets = bucket_count(rows, rows_a_bucket)
     digest = F.xxhash64(*[x for c in fields for x in (F.col(c), F.col(c).isNull())])
-    sides = [s.select("key", digest.alias("digest"), *fields) for s in (left, right)]
-    found = differing_keys(*(s.select("key", "digest") for s in sides), buckets, cells)
+    # each is read several times below
+    sides = [cut(s.select("key", digest.alias("digest"), *fields)) for s in (left, right)]
+    found = cut(differing_keys(*(s.select("key", "digest") for s in sides), buckets, cells))
     peeled = found.where("whole").select("key").distinct()
     rest = found.where("NOT whole").select("bucket").distinct()
     bucket = F.pmod(F.xxhash64(F.lit(0), "key"), F.lit(buckets))
