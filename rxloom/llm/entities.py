@@ -266,7 +266,8 @@ def match(sales: DataFrame, catalogue: DataFrame, ingredients: DataFrame, names:
         brand = F.array_join(without_firm(F.col("tokens"), F.col("words")), "").alias("brand")
         return with_firm.select(*ids, brand, F.array_join("tokens", "").alias("whole"), "firm", F.coalesce(key, F.lit("")).alias("firm_key"), "strengths", "molecules", F.substring(form, 1, 3).alias("form")).where("brand <> ''")
 
-    lines = line_profiles(sales).withColumn("text", F.when(F.col("strength").rlike(r"\d"), F.col("strength")).otherwise(F.col("product")))
+    # read twice: for the distinct profiles and for the lines that have them
+    lines = cut(line_profiles(sales).withColumn("text", F.when(F.col("strength").rlike(r"\d"), F.col("strength")).otherwise(F.col("product"))).drop("strength"))
     raw = ["product", "manufacturer", "text", "molecule"]
     distinct = parsed_sets(lines.select(*raw).distinct(), "text", None, "molecule").withColumnRenamed("manufacturer", "company")
     fields = ["brand", "whole", "firm", "firm_key", "strengths", "molecules", "form"]
