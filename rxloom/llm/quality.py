@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxloom.functions.arrow import arrow_schema
+from rxloom.functions.arrow import Memo, arrow_schema
 
 CHUNK, FAN = 16_384, 64
 STATS = (
@@ -47,35 +47,34 @@ CAPTION = re.compile(r"^(?:table|tableau)\s+\d+\b", re.I)
 CODE_FIELD = re.compile(r"^\d{8}\s*[,;]|^[^\s,;]+(?:[,;][^\s,;]+){2,}$|^(?:[^;.]{1,24}; ?){2,}[^;.]{1,24}$")
 SENTENCE_END = re.compile(r"[.!?…][\"')\]»]*(?=\s|$)")
 
-#: Classes of characters: 0 space, 1 lower, 2 upper, 3 digit, 4 plain punctuation, 5 symbol, 6 odd, 7 vowel (lower or upper).
 _PLAIN = set(".,;:!?'\"()-%/’‘“”«»–—…•[]&+°µ")
 _VOWELS = set("aeiouyAEIOUYàâäéèêëîïôöùûüœæÀÂÄÉÈÊËÎÏÔÖÙÛÜŒÆ")
 
 
-def _class_table() -> np.ndarray:
-    t = np.full(0x10000, 6, np.uint8)
-    for i in range(0x10000):
-        if 0xD800 <= i < 0xE000:
-            continue
+class _Classes(dict):
+    """Class letter of each code point, found as needed: s blank, l lower, v lower vowel, u upper, w upper vowel, d digit, p plain, y symbol, o odd."""
+
+    def __missing__(self, i: int) -> str:
         c = chr(i)
         if c.isspace() or i in (0x200B, 0xFEFF):
-            t[i] = 0
+            k = "s"
+        elif c in _READ:
+            k = "l"
         elif c.isdigit():
-            t[i] = 3
+            k = "d"
         elif c in _PLAIN:
-            t[i] = 4
-        elif c.isalpha():
-            t[i] = 2 if c.isupper() else 1
-        elif i < 0x80:
-            t[i] = 5
-    for i in map(ord, "Ã©¨ª´®¹"):  # accented letters of UTF-8 that was read as a one-byte encoding are still read
-        t[i] = 1
-    return t
-
-
-CLASS = _class_table()
-VOWEL = np.zeros(0x10000, bool)
-VOWEL[[ord(c) for c in _VOWELS]] = True
+            k = "p"
+        elif c.isalpha() and i < 0x10000:
+            k = ("w" if c in _VOWELS else "u") if c.isupper() else ("v" if c in _VOWELS else "l")
+        else:
+            k = "y" if i < 0x80 else "o"
+        self[i] = k
+        return k
+
+
+#: What accented letters of UTF-8 that was read as a one-byte encoding look like; they are still read.
+_READ = set("Ã©¨ª´®¹")
+CLASSES = _Classes()
 CHARS = ("space", "lower", "upper", "digit", "plain", "symbol", "odd", "vowel")
 N_CHAR = len(CHARS)
 #: What a piece of a line counts besides characters.
@@ -98,12 +97,10 @@ class Piece:
         self.text, self.n, self.head, self.tail, self.bits, self.start = text, n, head, tail, bits, start
 
 
-def char_counts(s: str) -> np.ndarray:
-    a = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
-    a = np.where(a < 0x10000, a, 0xFFFF).astype(np.uint16)
-    n = np.bincount(CLASS[a], minlength=N_CHAR).astype(np.int64)
-    n[7] = int(VOWEL[a].sum())
-    return n
+def char_counts(s: str) -> tuple[int, ...]:
+    n = s.translate(CLASSES).count
+    lower_vowel, upper_vowel = n("v"), n("w")
+    return n("s"), n("l") + lower_vowel, n("u") + upper_vowel, n("d"), n("p"), n("y"), n("o"), lower_vowel + upper_vowel
 
 
 def add_counts(s: str, n: np.ndarray) -> int:
@@ -119,8 +116,10 @@ def add_counts(s: str, n: np.ndarray) -> int:
         len(words), sum(map(len, words)), sum(w in COMMON for w in low), sum(w in NAVIGATION for w in low), len(numbers), s.count("|"), s.count("\t"), len(GAP.findall(s)),
         s.count(","), s.count(";"), len(SENTENCE_END.findall(s)),
     )
-    for w in (*low, *numbers):
-        bits |= 1 << (crc32(w.encode("utf-8", "surrogatepass")) & 511)
+    for w in low:
+        bits |= BIT[w]
+    for w in numbers:
+        bits |= BIT[w]
     return bits
 
 
@@ -184,6 +183,9 @@ def counted(p: Piece) -> tuple[np.ndarray, str, str, int]:
     return n, p.start, p.tail[-START:], bits
 
 
+#: Place of a word in the bitmap that estimates the number of different words.
+BIT = Memo(lambda w: 1 << (crc32(w.encode("utf-8", "surrogatepass")) & 511), 100_000)
+
 #: Counts of a document over its whole lines.
 LINES = ("lines", "punctuated", "bullets", "prose", "list", "table", "junk", "prose_words")
 

@@ -223,6 +223,7 @@ class Monograph:
         first: dict[tuple, int] = {}
         self.twin = [first.setdefault((n, t), i) != i if t else False for i, (n, t) in enumerate(zip(numbers, texts))]
         self.run = self.find_running(running, content)
+        self.memo: dict[str, str | None] = {}
         self.names = self.find_names()
 
     def find_running(self, running: set[str], content: set[str]) -> list[set[int]]:
@@ -245,8 +246,12 @@ class Monograph:
                 elif form not in content and rank < 3:
                     rest.append((p, i, " ".join(re.sub(r"\d+", "9", line).lower().split()), form))
         pages = len({n for n, t in zip(self.numbers, self.twin) if not t}) or 1
-        for p, i, line, form in rest:
-            same = {self.numbers[q] for q, _, other, f in rest if q != p and (f == form or SequenceMatcher(None, line, other, autojunk=False).ratio() >= FUZZY)} | {self.numbers[p]}
+        bags = [frozenset(line.split()) for _, _, line, _ in rest]
+        for (p, i, line, form), bag in zip(rest, bags):
+            alike = [(q, other, f) for (q, _, other, f), b in zip(rest, bags) if q != p and (f == form or 2 * len(bag & b) >= max(len(bag), len(b)))]
+            if len(alike) < 2:
+                continue
+            same = {self.numbers[q] for q, other, f in alike if f == form or SequenceMatcher(None, line, other, autojunk=False).ratio() >= FUZZY} | {self.numbers[p]}
             if len(same) >= 3 and len(same) * 2 >= pages and not line.startswith("•"):
                 out[p].add(i)
         # what resembles a line found above is one that was misread
@@ -281,6 +286,13 @@ class Monograph:
 
     def right(self, w: str) -> str | None:
         """The right word of a misread one; None if it is right or can't be told."""
+        if w in self.v.counts:
+            return None
+        if w not in self.memo:
+            self.memo[w] = self.righted(w)
+        return self.memo[w]
+
+    def righted(self, w: str) -> str | None:
         if w in self.v.counts or w in self.names or NUMBERLIKE.match(w) or not w:
             return None
         if self.v.known(w) or self.compound(w):
