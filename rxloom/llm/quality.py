@@ -128,21 +128,25 @@ FIRST_RUN, LAST_RUN = re.compile(r"[\w'’]*[^\w'’\s]"), re.compile(r"(?<=[^\w
 
 
 def close(p: Piece) -> Piece:
-    """A piece of up to KEEP characters as it is; a longer one counted but for its first and last tokens."""
+    """A piece of up to KEEP characters as it is; a longer one counted but for its first and last tokens.
+
+    An endless token is cut where no word and no number goes on; one that is a single word stays text.
+    """
     s = p.text
     if s is None or len(s) <= KEEP:
         return p
     m = FIRST_TOKEN.match(s)
+    if not m or m.end() > KEEP // 2:
+        m = FIRST_RUN.match(s) or m
     a = m.end() if m else len(s)
-    if a > KEEP // 2:  # one endless token: it is cut where no word and no number goes on
-        m = FIRST_RUN.match(s)
-        a = m.end() if m and m.end() < KEEP // 2 else KEEP // 4
     low = max(a, len(s) - KEEP // 2)
     t = LAST_TOKEN.search(s, low)
     z = t.start() if t else len(s)
     if z == low:
-        t = LAST_RUN.search(s, low)
-        z = t.start() if t and t.start() > low else max(a, len(s) - KEEP // 4)
+        t = LAST_RUN.search(s, a)
+        z = t.start() if t else a
+    if z <= a:
+        return p
     n = np.zeros(N, np.int64)
     bits = add_counts(s[a:z], n)
     return Piece(None, n, s[:a], s[z:], bits, s[:START])
