@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rxloom.functions import names as N
+from rxloom.functions.similarity import company_core_udf, strength_key_udf
 from rxloom.functions.text import amount, any_date, normalize_din
-from rxloom.operators import criteria, relational, sales
+from rxloom.operators import criteria, matcher, monograph, relational, sales
 from rxloom.operators import findings as dq
 from rxloom.plans.core_problems import _AMOUNT, _DATE
 from rxloom.sources.tables import table
@@ -469,4 +470,48 @@ def cache_view(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id", "event_type").agg(F.max("ts").alias("stored")).join(F.broadcast(now)).where("stored >= oldest").drop("oldest")
 
 
-__all__ = ["QUERIES", "SQL"]
+
+# --- matching and text; no SQL has these similarities -----------------------------------------------------------------
+
+
+def _catalogue(spark: SparkSession, d: str) -> DataFrame:
+    p = relational.first_rows(table(spark, d, "drugproduct"), ["drug_code"], [F.desc_nulls_last("last_update_date"), F.desc("row_id")])
+    row = F.struct(F.upper("ingredient_name").alias("n"), F.concat_ws(" ", F.when(~F.col("strength").rlike("[A-Za-z%]"), F.concat_ws(" ", F.trim("strength"), F.trim("strength_unit"))).otherwise(F.trim("strength"))).alias("s"))
+    i = table(spark, d, "activeingredient").where("ingredient_name IS NOT NULL").groupBy("drug_code").agg(F.array_sort(F.collect_set(row)).alias("r"))
+    cols = i.select("drug_code", F.array_join(F.transform("r", lambda x: x["n"]), "; ").alias("ingredient"), F.array_join(F.transform("r", lambda x: x["s"]), "; ").alias("strength"))
+    return p.join(cols, "drug_code", "left").select(F.col("drug_identification_number").alias("din"), "ingredient", "brand_name", F.col("company_name").alias("company"), "strength", F.lit("marketed").alias("status"))
+
+
+@query()
+def line_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Sales groups of the last snapshot matched to catalogue products, with the confidence of each match."""
+    sold = table(spark, d, "old_extract").where("snapshot_no = 6").select("combined_molecule", "product", "manufacturer", "strength").distinct()
+    found = matcher.match_sales(sold, _catalogue(spark, d))
+    return found.withColumn("confidence", matcher.confidence(F.col("status"), F.col("top_score")))
+
+
+@query()
+def match_summary(spark: SparkSession, d: str) -> DataFrame:
+    return line_matches(spark, d).groupBy("status", "confidence").agg(F.count("*").alias("n"), F.round(F.avg("top_score"), 1).alias("mean_score"))
+
+
+@query()
+def company_cores(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct company names only are folded; the rest joins back."""
+    names = table(spark, d, "drugproduct").select("company_name").distinct()
+    return names.withColumn("company", company_core_udf("company_name"))
+
+
+@query()
+def strength_keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "old_extract").select("strength").distinct().withColumn("strength_key", strength_key_udf("strength"))
+
+
+@query()
+def monograph_fields(spark: SparkSession, d: str) -> DataFrame:
+    return monograph.document_fields(table(spark, d, "piqray_pages"), "page_id").withColumnRenamed("doc_id", "page_id")
+
+
+@query()
+def monograph_sections(spark: SparkSession, d: str) -> DataFrame:
+    return monograph.sections(table(spark, d, "piqray_pages"), r"^\d* ?(?:PACKAGING|Packaging|.*COMPOSITION AND PACKAGING)\s*$", r"^\d{1,2} [A-Z][A-Z ,]+$|^(?:Description|Clinical trials)$", "page_id").withColumnRenamed("doc_id", "page_id")
