@@ -64,10 +64,11 @@ class Node:
             c.spend(given.get(id(c), 0.0))
 
 
-def leaf_budgets(targets: list[tuple[str, str, float, int]], sums: dict[tuple[str, str], int], total: float | None = None) -> list[tuple[str, str, str, str, float, int, int]]:
+def leaf_budgets(targets: list[tuple[str, str, float, int]], sums: dict[tuple[str, str], int], total: float | str | None = None) -> list[tuple[str, str, str, str, float, int, int]]:
     """(mix, source, language, domain, budget, tokens of one epoch, most repeats) of each leaf.
 
-    sums: tokens by (source, language). total: size of a mix in tokens, by default what its sources hold once.
+    sums: tokens by (source, language). total: size of a mix in tokens, by default what its sources hold once;
+    `reachable` is the largest size at which no source that has documents falls short of its share.
     """
     out = []
     for mix in sorted({t[0] for t in targets}):
@@ -82,7 +83,9 @@ def leaf_budgets(targets: list[tuple[str, str, float, int]], sums: dict[tuple[st
                 leaf.weight, leaf.capacity = (share * n / whole if whole else 0.0), float(n * max(0, repeats))
                 leaves.append((source, lang, domain, leaf, n, max(0, repeats)))
         root.total()
-        root.spend(total if total is not None else float(sum(n for *_, n, _ in leaves)))
+        once = float(sum(n for *_, n, _ in leaves))
+        fits = min((leaf.capacity * root.weight / leaf.weight for *_, leaf, _, _ in leaves if leaf.weight > 0), default=0.0)
+        root.spend(once if total is None else fits if total == "reachable" else total)
         out += [(mix, source, lang, domain, leaf.budget, n, repeats) for source, lang, domain, leaf, n, repeats in leaves]
     return out
 
@@ -92,7 +95,7 @@ def language(c: Column) -> Column:
     return F.when(low.rlike("^[a-z]{2}$"), low).otherwise(F.lit("und"))
 
 
-def mix_choice(sized: DataFrame, targets: DataFrame, rows: int, seed: int = 17, total: float | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix_choice(sized: DataFrame, targets: DataFrame, rows: int, seed: int = 17, total: float | str | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(mix_name, source, lang, domain, doc_id, n_tokens, times) of each document used in a mix.
 
     sized: doc_id, source, lang, n_tokens; computed twice, so materialise it before. targets: mix_name, source,

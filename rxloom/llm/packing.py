@@ -3,11 +3,11 @@
 Hierarchical multi-length packing: every document goes to the tier of the smallest context size that holds it; the
 tiers are packed from the longest down, a document of a shorter tier going first into the fullest container of a longer
 one that has room (best fit), and into a container of its own tier otherwise. Containers are then dealt to step groups
-so that the steps carry even loads. A document is split only if it exceeds the capacity: into full containers, which
-need no packing, and a remainder, which is packed like a document.
+so that the steps carry even loads. A document is split only if it exceeds the capacity: into full containers and a
+remainder, which is packed like a document.
 
-Documents are spread over shards by hash, each packed by one task; a shard holds about SHARD_ROWS documents, so that the
-space lost to its last open containers is a small part of it, and no task grows with the data.
+Documents and pieces are spread over shards by hash, each packed by one task; a shard holds about SHARD_ROWS of them, so
+that the space lost to its last open containers is a small part of it, and no task grows with the data.
 """
 
 from __future__ import annotations
@@ -67,31 +67,25 @@ def even_steps(load: np.ndarray, capacity: np.ndarray, step: int = STEP) -> np.n
     return out
 
 
-def pack_documents(sized: DataFrame, packs: list[tuple[str, int]], rows: int, mixed: bool = False, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack_documents(sized: DataFrame, packs: list[tuple[str, int]], mixed: bool = False, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Placement of every document (doc_id unique, n_tokens): one row per piece, with the unused space of its container.
 
     mixed: one packing over containers of all capacities, each document in its tier or in a gap of a longer one.
     Otherwise one packing per capacity, all documents in containers of it, with the smaller capacities as tiers.
     Rows without a size have nothing to place and are left out; a size of 0 takes a position but no space. Extra
-    columns are ignored. An empty table gives no rows.
+    columns are ignored. sized is read twice, so materialise it before. An empty table gives no rows.
     """
     packs = sorted(packs, key=lambda p: p[1])
     names = {c: n for n, c in packs}
     caps = [c for _, c in packs]
-    shards = max(1, -(-rows // shard_rows))
     goals = [("mixed", caps[-1])] if mixed else packs
-    items = sized.where(F.col("n_tokens").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("size"), F.explode(F.array(*[F.struct(F.lit(n).alias("goal"), F.lit(c).cast("long").alias("cap")) for n, c in goals])).alias("g")
-    ).select("doc_id", "size", "g.goal", "g.cap").withColumn("full", F.floor(F.col("size") / F.col("cap")))
-    split = items.where("full > 0")
-    names_of = F.create_map(*[F.lit(x) for c, n in names.items() for x in (c, n)])
-    full = split.select("goal", "cap", "doc_id", F.posexplode(F.sequence(F.lit(1), F.col("full").cast("int")))).select(
-        F.element_at(names_of, F.col("cap").cast("int")).alias("pack_name"), F.col("cap").alias("capacity_tokens"),
-        F.concat(F.lit("d"), "doc_id", F.lit("-"), (F.col("pos") + 1)).alias("container_id"),
-        F.concat(F.lit("d"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)), F.lit("-"), F.floor(F.pmod(F.xxhash64("doc_id", "pos"), F.lit(2**31)) % F.greatest(F.lit(1), F.lit(shard_rows // STEP)))).alias("step_id"),
-        F.lit(1).alias("position_no"), "doc_id", (F.col("pos") + 1).alias("piece_no"), (F.col("pos") * F.col("cap")).alias("start_token"), F.col("cap").alias("n_tokens"), F.lit(0).cast("long").alias("unused_tokens"),
-    )
-    rest = items.where("size = 0 OR size % cap > 0").select("goal", "cap", "doc_id", (F.col("size") % F.col("cap")).alias("size"), F.col("full"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
+    known = sized.where(F.col("n_tokens").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("size"))
+    pieces = lambda c: F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(c))).cast("long")
+    counts = known.agg(*[F.coalesce(F.sum(pieces(c)), F.lit(0)) for _, c in goals]).first()
+    goal = F.array(*[F.struct(F.lit(n).alias("goal"), F.lit(c).cast("long").alias("cap"), F.lit(max(1, -(-k // shard_rows))).alias("shards")) for (n, c), k in zip(goals, counts)])
+    items = known.select("doc_id", "size", F.explode(goal).alias("g")).select("doc_id", "size", "g.*")
+    cut_up = items.withColumn("full", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("cap"))).cast("long") - 1)))
+    rest = cut_up.select("goal", "cap", "doc_id", F.least(F.col("cap"), F.col("size") - F.col("full") * F.col("cap")).alias("size"), "full", F.pmod(F.xxhash64("doc_id", "full"), F.col("shards")).alias("shard"))
     columns = [f.split()[0] for f in PLACED.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -114,8 +108,7 @@ def pack_documents(sized: DataFrame, packs: list[tuple[str, int]], rows: int, mi
         )
         return out[columns]
 
-    placed = rest.groupBy("goal", "cap", "shard").applyInPandas(run, PLACED)
-    return full.select(*columns).unionByName(placed)
+    return rest.groupBy("goal", "cap", "shard").applyInPandas(run, PLACED)
 
 
 def packing_report(placed: DataFrame) -> DataFrame:

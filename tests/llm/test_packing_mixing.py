@@ -16,7 +16,7 @@ def test_every_token_is_placed_once(spark, mixed):
     rng = random.Random(4)
     rows = [(i, rng.choice([None, 0, 1, 5, 16, 17, 63, 64, 255, 256, 300, 1024, rng.randint(1, 700)]), "x") for i in range(800)]
     df = spark.createDataFrame(rows, "doc_id long, n_tokens long, pack_name string")
-    got = pack_documents(df, PACKS, 800, mixed, shard_rows=150).toPandas()
+    got = pack_documents(df, PACKS, mixed, shard_rows=150).toPandas()
     sizes = {i: n for i, n, _ in rows if n is not None}
     for goal, part in [("all", got)] if mixed else got.groupby("pack_name"):
         assert set(part["doc_id"]) == set(sizes)
@@ -33,9 +33,9 @@ def test_every_token_is_placed_once(spark, mixed):
 
 def test_little_space_is_lost(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(200)) + 1).alias("n_tokens"))
-    r = packing_report(pack_documents(df, [("l", 256)], 5000)).first()
+    r = packing_report(pack_documents(df, [("l", 256)])).first()
     assert r.unused_share < 0.01
-    assert pack_documents(df.limit(0), PACKS, 0).count() == 0
+    assert pack_documents(df.limit(0), PACKS).count() == 0
 
 
 def test_best_fit_and_steps():
@@ -71,6 +71,13 @@ def test_choice(spark):
     assert mix_choice(docs.limit(0), targets, 0).count() == 0
 
 
+def test_reachable_total(spark):
+    targets = [("m", "a", 0.5, 2), ("m", "b", 0.5, 1)]
+    sums = {("a", "en"): 100, ("b", "en"): 1000, ("b", "fr"): 200}
+    got = leaf_budgets(targets, sums, total="reachable")
+    assert {(r[1], r[2]): round(r[4], 6) for r in got} == {("a", "en"): 200, ("b", "en"): pytest.approx(200 * 1000 / 1200), ("b", "fr"): pytest.approx(200 * 200 / 1200)}
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world", 5), (2, "", 5), (3, None, 5)], "doc_id long, text string, n_tokens int")
     assert {r.doc_id: r.n_tokens for r in with_token_counts(df).collect()} == {1: 2, 2: 0, 3: None}
