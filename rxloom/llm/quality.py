@@ -210,12 +210,12 @@ def line_kind(n: np.ndarray, first: str, last: str) -> str:
         return "junk"
     if words >= 2 and g("navigation") >= 0.7 * words and g("numbers") == 0 and common < 0.6 * words:
         return "junk"
-    if (words >= 7 or (words >= 3 and g("ends"))) and common >= 0.13 * words and not g("tabs") and g("pipes") < 2 and not leader and not (marked and words < 8) and not (marks * 5 >= words and common < 0.2 * words):
+    if (words >= 7 or (words >= 3 and g("ends"))) and common >= 0.13 * words and not g("tabs") and g("pipes") < 2 and not leader and not (marked and words < 8) and not (marks * 5 >= words and common < 0.2 * words) and not (g("semicolons") * 8 >= words and not g("ends")) and first.count("•") < 3:
         return "prose"
     if g("pipes") >= 2 or g("tabs") or (g("gaps") - (1 if marked or leader else 0) >= (1 if g("numbers") else 2) and not leader):
         return "table"
     if s and CODE_FIELD.match(s) and not marked:
-        return "table" if g("digit") or " " not in s.replace("; ", ";") else "list"
+        return "table" if (g("digit") and not s.upper().startswith("DIN 0")) or " " not in s.replace("; ", ";") else "list"
     if marked or leader:
         return "list"
     if letters > 12 and g("vowel") < 0.2 * letters:
@@ -301,11 +301,11 @@ def finish(d: Doc) -> tuple:
     if chars == g["space"]:
         rules.append("blank")
     tokens = words + g["numbers"]
-    if tokens >= 12 and distinct <= 7.5 and distinct * 4 < tokens:
+    if (tokens >= 12 and distinct <= 7.5 and distinct * 4 < tokens) or (tokens >= 6 and distinct < 2.5):
         rules.append("filler")
     if words >= 6 and g["navigation"] >= 0.75 * words and tokens - words <= 0.1 * tokens:
         rules.append("navigation")
-    if letters > 30 and g["vowel"] < 0.2 * letters:
+    if letters > 30 and g["vowel"] < 0.2 * letters and share["table"] < 0.5:
         rules.append("no_vowels")
     if g["odd"] > 0.06 * solid:
         rules.append("odd_characters")
