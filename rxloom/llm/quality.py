@@ -80,8 +80,8 @@ N_CHAR = len(CHARS)
 #: What a piece of a line counts besides characters.
 COUNTS = ("words", "word_chars", "common", "navigation", "numbers", "pipes", "tabs", "gaps", "commas", "semicolons", "ends")
 N = N_CHAR + len(COUNTS)
-IX = {n: i for i, n in enumerate((*CHARS, *COUNTS))}
 KEEP, START = 512, 128
+ZERO = (0,) * N
 
 
 class Piece:
@@ -103,23 +103,30 @@ def char_counts(s: str) -> tuple[int, ...]:
     return n("s"), n("l") + lower_vowel, n("u") + upper_vowel, n("d"), n("p"), n("y"), n("o"), lower_vowel + upper_vowel
 
 
-def add_counts(s: str, n: np.ndarray) -> int:
-    """Adds the counts of a stretch that cuts no token; gives the bitmap of its words."""
+def stretch_counts(s: str) -> tuple[tuple[int, ...], int]:
+    """(counts, bitmap of the words) of a stretch that cuts no token."""
     if not s:
-        return 0
-    bits = 0
+        return ZERO, 0
+    bits = chars = common = navigation = 0
     words = WORD.findall(s)
-    low = [w.lower() for w in words]
-    numbers = NUMBER.findall(s)
-    n[:N_CHAR] += char_counts(s)
-    n[N_CHAR:] += (
-        len(words), sum(map(len, words)), sum(w in COMMON for w in low), sum(w in NAVIGATION for w in low), len(numbers), s.count("|"), s.count("\t"), len(GAP.findall(s)),
-        s.count(","), s.count(";"), len(SENTENCE_END.findall(s)),
-    )
-    for w in low:
+    for w in words:
+        chars += len(w)
+        w = w.lower()
+        common += w in COMMON
+        navigation += w in NAVIGATION
         bits |= BIT[w]
+    numbers = NUMBER.findall(s)
     for w in numbers:
         bits |= BIT[w]
+    n = s.count
+    gaps = len(GAP.findall(s)) if "  " in s or "\t" in s else 0
+    return (*char_counts(s), len(words), chars, common, navigation, len(numbers), n("|"), n("\t"), gaps, n(","), n(";"), len(SENTENCE_END.findall(s))), bits
+
+
+def add_counts(s: str, n: np.ndarray) -> int:
+    """Adds the counts of a stretch that cuts no token; gives the bitmap of its words."""
+    counts, bits = stretch_counts(s)
+    n += counts
     return bits
 
 
@@ -176,15 +183,14 @@ def join(a: Piece, b: Piece) -> Piece:
     return Piece(None, n, a.head, b.tail, bits, a.start)
 
 
-def counted(p: Piece) -> tuple[np.ndarray, str, str, int]:
+def counted(p: Piece) -> tuple[tuple[int, ...], str, str, int]:
     """(counts, first characters, last characters, bitmap) of a whole line."""
     if p.text is not None:
-        n = np.zeros(N, np.int64)
-        bits = add_counts(p.text, n)
+        n, bits = stretch_counts(p.text)
         return n, p.text[:START], p.text[-START:], bits
     n = p.n.copy()
     bits = p.bits | add_counts(p.head, n) | add_counts(p.tail, n)
-    return n, p.start, p.tail[-START:], bits
+    return tuple(n.tolist()), p.start, p.tail[-START:], bits
 
 
 #: Place of a word in the bitmap that estimates the number of different words.
@@ -194,65 +200,69 @@ BIT = Memo(lambda w: 1 << (crc32(w.encode("utf-8", "surrogatepass")) & 511), 100
 LINES = ("lines", "punctuated", "bullets", "prose", "list", "table", "junk", "prose_words")
 
 
-def line_kind(n: np.ndarray, first: str, last: str) -> str:
+def line_kind(n: tuple[int, ...], first: str, last: str) -> str:
     """prose, list (items), table (rows of fields) or junk; the first rule that holds decides."""
-    g = lambda k: int(n[IX[k]])
-    letters, solid = g("lower") + g("upper"), int(n[1:7].sum())
-    words, common, marks, marked = g("words"), g("common"), g("commas") + g("semicolons"), bool(MARK.match(first))
-    s = first.strip() if int(n[:7].sum()) <= START else ""
+    space, lower, upper, digit, plain, symbol, odd, vowel, words, _, common, navigation, numbers, pipes, tabs, gaps, commas, semicolons, ends = n
+    letters, solid = lower + upper, lower + upper + digit + plain + symbol + odd
+    marks, marked = commas + semicolons, bool(MARK.match(first))
+    s = first.strip() if space + solid <= START else ""
     leader = bool(LEADER.search(last.rstrip())) or "....." in first
-    symbols = g("symbol") - g("pipes")
+    symbols = symbol - pipes
     if s and (CAPTION.match(s) or KEY_VALUE.match(s)):
         return "table"
-    if g("odd") > 0.07 * solid or symbols > 0.15 * solid + 2 or (symbols >= 3 and symbols > 0.1 * solid):
+    if odd > 0.07 * solid or symbols > 0.15 * solid + 2 or (symbols >= 3 and symbols > 0.1 * solid):
         return "junk"
-    if solid >= 6 and not g("space") and "=" in first:
+    if solid >= 6 and not space and "=" in first:
         return "junk"
-    if words >= 2 and g("navigation") >= 0.7 * words and g("numbers") == 0 and common < 0.6 * words:
+    if words >= 2 and navigation >= 0.7 * words and numbers == 0 and common < 0.6 * words:
         return "junk"
-    if (words >= 7 or (words >= 3 and g("ends"))) and common >= 0.13 * words and not g("tabs") and g("pipes") < 2 and not leader and not (marked and words < 8) and not (marks * 5 >= words and common < 0.2 * words) and not (g("semicolons") * 8 >= words and not g("ends")) and first.count("•") < 3:
+    listed = (marks * 5 >= words and common < 0.2 * words) or (semicolons * 8 >= words and not ends) or first.count("•") >= 3
+    if (words >= 7 or (words >= 3 and ends)) and common >= 0.13 * words and not tabs and pipes < 2 and not leader and not (marked and words < 8) and not listed:
         return "prose"
-    if g("pipes") >= 2 or g("tabs") or (g("gaps") - (1 if marked or leader else 0) >= (1 if g("numbers") else 2) and not leader):
+    if pipes >= 2 or tabs or (gaps - (1 if marked or leader else 0) >= (1 if numbers else 2) and not leader):
         return "table"
     if s and CODE_FIELD.match(s) and not marked:
-        return "table" if (g("digit") and not s.upper().startswith("DIN 0")) or " " not in s.replace("; ", ";") else "list"
+        return "table" if (digit and not s.upper().startswith("DIN 0")) or " " not in s.replace("; ", ";") else "list"
     if marked or leader:
         return "list"
-    if letters > 12 and g("vowel") < 0.2 * letters:
+    if letters > 12 and vowel < 0.2 * letters:
         return "junk"
-    if solid > 24 and g("space") * 24 < solid:
+    if solid > 24 and space * 24 < solid:
         return "junk"
-    if solid >= 16 and not letters and g("numbers") >= 3:
+    if solid >= 16 and not letters and numbers >= 3:
         return "junk"
-    if words >= 12 and marks * 6 < words and g("ends"):
+    if words >= 12 and marks * 6 < words and ends:
         return "prose"
     return "list"
 
 
+ENDINGS = frozenset(".!?…:;»\"'”")
+
+
 class Doc:
     """Counts of whole lines, and the pieces of the lines that the ends of the text so far may cut."""
 
     __slots__ = ("bits", "first", "last", "lines", "n")
 
     def __init__(self) -> None:
-        self.n, self.lines, self.bits = np.zeros(N, np.int64), np.zeros(len(LINES), np.int64), 0
+        self.n, self.lines, self.bits = list(ZERO), [0] * len(LINES), 0
         self.first: Piece | None = None  # up to the first line end; None until a line end is seen
         self.last = Piece("")
 
     def line(self, p: Piece) -> None:
         n, first, last, bits = counted(p)
-        self.n += n
+        self.n = [a + b for a, b in zip(self.n, n)]
         self.bits |= bits
-        solid = int(n[1:7].sum())
+        solid = sum(n[1:7])
         if not solid:
             return
-        kind = line_kind(n, first, last)
-        self.lines[0] += 1
-        self.lines[1] += last.rstrip()[-1:] in set(".!?…:;»\"'”") and last.rstrip()[-1:] != ""
-        self.lines[2] += bool(MARK.match(first))
-        self.lines[LINES.index(kind)] += solid
+        kind, lines = line_kind(n, first, last), self.lines
+        lines[0] += 1
+        lines[1] += last.rstrip()[-1:] in ENDINGS
+        lines[2] += bool(MARK.match(first))
+        lines[LINES.index(kind)] += solid
         if kind == "prose":
-            self.lines[7] += n[IX["words"]]
+            lines[7] += n[N_CHAR]
 
 
 def chunk_state(text: str) -> Doc:
@@ -269,7 +279,7 @@ def chunk_state(text: str) -> Doc:
 
 def merge(a: Doc, b: Doc) -> Doc:
     out = Doc()
-    out.n, out.lines, out.bits = a.n + b.n, a.lines + b.lines, a.bits | b.bits
+    out.n, out.lines, out.bits = [x + y for x, y in zip(a.n, b.n)], [x + y for x, y in zip(a.lines, b.lines)], a.bits | b.bits
     if b.first is None:
         out.first, out.last = a.first, join(a.last, b.last)
         return out
