@@ -207,9 +207,8 @@ def running_forms(pages: DataFrame, vocabulary) -> tuple[set[str], set[str]]:
     forms = found.join(sizes, "monograph_id").groupBy("form").agg(F.count("*").alias("monographs"), (F.sum("k") / F.sum("n")).alias("coverage"), F.sum("k").alias("pages"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     # each page has 2 * EDGE forms at most, so no more than 2 * EDGE * 5,000 forms reach a 5,000th of the pages
-    rows = forms.where((F.col("monographs") >= FORM_MONOGRAPHS) & (F.col("coverage") >= COVERAGE) & (F.col("pages") >= total / 5000)).select("form").collect()
-    low = forms.where((F.col("monographs") >= FORM_MONOGRAPHS) & (F.col("coverage") < COVERAGE) & (F.col("pages") >= total / 5000)).select("form").collect()
-    return {r[0] for r in rows}, {r[0] for r in low}
+    rows = forms.where((F.col("monographs") >= FORM_MONOGRAPHS) & (F.col("pages") >= total / 5000)).select("form", "coverage").collect()
+    return {r.form for r in rows if r.coverage >= COVERAGE}, {r.form for r in rows if r.coverage < COVERAGE}
 
 
 class Monograph:
