@@ -112,6 +112,7 @@ def drug_profiles(catalogue: DataFrame, ingredients: DataFrame) -> DataFrame:
     """(drug_code, product, company, strengths, molecules): latest record of each drug that has a brand and a company."""
     has = lambda c: F.coalesce(F.trim(c) != "", F.lit(False)).cast("int")
     row = F.struct((has("brand_name") + has("company_name")).alias("full"), F.col("last_update_date").alias("u"), F.col("row_id").alias("r"), F.col("brand_name").alias("product"), F.col("company_name").alias("company"))
+    catalogue = catalogue.select("row_id", "drug_code", "brand_name", "company_name", "company_code", "last_update_date")
     by_code = catalogue.where(has("company_name") == 1).groupBy("company_code").agg(F.min("company_name").alias("registered"))
     filled = catalogue.where("drug_code IS NOT NULL").join(by_code, "company_code", "left").withColumn("company_name", F.when(has("company_name") == 1, F.col("company_name")).otherwise(F.col("registered")))
     last = filled.groupBy("drug_code").agg(F.max(row).alias("m")).select("drug_code", "m.product", "m.company")
@@ -255,7 +256,7 @@ def match(sales: DataFrame, catalogue: DataFrame, ingredients: DataFrame, names:
     """
     firms = link_names(names, name_rows)
     firms = cut(firms)
-    ids = names.select(F.col("name_id").cast("long"), "spelling")
+    ids = names.select(F.col("name_id").cast("long"), "spelling").where("name_id IS NOT NULL AND trim(spelling) <> ''")
     named = ids.join(firms, "name_id").groupBy("spelling").agg(F.min("firm").alias("firm")).join(firm_words(ids, firms), "firm", "left")
     named = cut(named.withColumn("firm", F.col("firm").cast("string")))
     key = F.regexp_replace(F.upper("company"), "[^A-Z0-9]", "")

@@ -99,11 +99,11 @@ def mix_choice(sized: DataFrame, targets: DataFrame, rows: int, seed: int = 17,
     """(mix_name, source, lang, domain, doc_id, n_tokens, times) of each document used in a mix.
 
     sized: doc_id, source, lang, n_tokens; computed twice, so materialise it before. targets: mix_name, source,
-    target_share, max_repeats. Documents without text, tokens or source can't count towards a share and are left out; an
+    target_share, max_repeats. Documents without id, text, tokens or source can't count towards a share and are left out; an
     unknown language is `und`. A source without documents leaves its share to its siblings. Empty tables give no rows.
     """
     spark = sized.sparkSession
-    docs = sized.where("n_tokens > 0 AND source IS NOT NULL").select("doc_id", "source", language(F.col("lang")).alias("lang"), "n_tokens")
+    docs = sized.where("doc_id IS NOT NULL AND n_tokens > 0 AND source IS NOT NULL").select("doc_id", "source", language(F.col("lang")).alias("lang"), "n_tokens")
     sums = {(r[0], r[1]): int(r[2]) for r in docs.groupBy("source", "lang").agg(F.sum("n_tokens")).collect()}
     wanted = [(r[0], r[1], float(r[2]), int(r[3])) for r in targets.where("mix_name IS NOT NULL AND source IS NOT NULL").select("mix_name", "source", F.coalesce("target_share", F.lit(0.0)), F.coalesce("max_repeats", F.lit(1))).collect()]
     leaves = [(m, s, lang, dom, n, min(int(b // n), r), int(b - n * min(int(b // n), r)) if b < n * r else 0) for m, s, lang, dom, b, n, r in leaf_budgets(wanted, sums, total) if n]
@@ -134,4 +134,4 @@ def share_report(choice: DataFrame, targets: DataFrame) -> DataFrame:
     """(mix_name, source, target_share, max_repeats, tokens, texts, actual_share, most_times) of every target."""
     per = choice.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("tokens"), F.sum("times").alias("texts"), F.max("times").alias("most_times"))
     all_ = F.sum("tokens").over(Window.partitionBy("mix_name"))
-    return targets.join(per, ["mix_name", "source"], "left").na.fill(0, ["tokens", "texts", "most_times"]).withColumn("actual_share", F.when(all_ > 0, F.round(F.col("tokens") / all_, 6)).otherwise(F.lit(0.0)))
+    return targets.select("mix_name", "source", "target_share", "max_repeats").join(per, ["mix_name", "source"], "left").na.fill(0, ["tokens", "texts", "most_times"]).withColumn("actual_share", F.when(all_ > 0, F.round(F.col("tokens") / all_, 6)).otherwise(F.lit(0.0)))

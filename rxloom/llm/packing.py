@@ -72,14 +72,14 @@ def pack_documents(sized: DataFrame, packs: list[tuple[str, int]], mixed: bool =
 
     mixed: one packing over containers of all capacities, each document in its tier or in a gap of a longer one.
     Otherwise one packing per capacity, all documents in containers of it, with the smaller capacities as tiers.
-    Rows without a size have nothing to place and are left out; a size of 0 takes a position but no space. Extra
+    Rows without doc_id or size have nothing to place and are left out; a size of 0 takes a position but no space. Extra
     columns are ignored. sized is read twice, so materialise it before. An empty table gives no rows.
     """
     packs = sorted(packs, key=lambda p: p[1])
     names = {c: n for n, c in packs}
     caps = [c for _, c in packs]
     goals = [("mixed", caps[-1])] if mixed else packs
-    known = sized.where(F.col("n_tokens").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("size"))
+    known = sized.where(F.col("n_tokens").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("size"))
     pieces = lambda c: F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(c))).cast("long")
     counts = known.agg(*[F.coalesce(F.sum(pieces(c)), F.lit(0)) for _, c in goals]).first()
     goal = F.array(*[F.struct(F.lit(n).alias("goal"), F.lit(c).cast("long").alias("cap"), F.lit(max(1, -(-k // shard_rows))).alias("shards")) for (n, c), k in zip(goals, counts)])

@@ -347,13 +347,13 @@ def text_statistics(text: str, chunk: int = CHUNK) -> tuple:
 def document_statistics(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row per document (doc_id, text) with its statistics and kind.
 
-    A null text has no row; an empty or blank one is junk with zero counts. Repeated rows of a doc_id of one chunk give
+    A null text or doc_id has no row; an empty or blank one is junk with zero counts. Repeated rows of a doc_id of one chunk give
     their rows each; of a longer one doc_id must be unique. Extra columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     names = [f.name for f in arrow_schema(spark, STATS)]
     target = arrow_schema(spark, STATS)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -450,10 +450,10 @@ def repair(pages: DataFrame, paragraphs: bool = False) -> DataFrame:
 
     pages: page_id unique, monograph_id, page, text; a monograph's pages have neighbouring ids. Null and empty pages
     have no defects; a page fed twice has its defects twice and its paragraphs once. Pages without monograph_id are read
-    as one monograph. Extra columns are ignored. An empty table gives no rows.
+    as one monograph; a page without page_id can't be named and is left out. Extra columns are ignored. An empty table gives no rows.
     """
     spark = pages.sparkSession
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("monograph_id").cast("long"), F.lit(-1)).alias("monograph_id"), F.col("page").cast("int").alias("page"), "text")
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("monograph_id").cast("long"), F.lit(-1)).alias("monograph_id"), F.col("page").cast("int").alias("page"), "text").where("page_id IS NOT NULL")
     full = base.where("trim(text) <> ''").select("monograph_id", "page", "text")
     vocabulary = spark.sparkContext.broadcast(vocabulary_of(full))
     forms = spark.sparkContext.broadcast(running_forms(full, vocabulary))
