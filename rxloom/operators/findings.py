@@ -41,3 +41,18 @@ def set_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(key, only_a, only_b) where the sets of two sources, arrays named names, differ; keys of both only."""
     j = a.select(key, F.col("names").alias("a")).join(b.select(key, F.col("names").alias("b")), key)
     return j.select(key, F.array_join(F.array_sort(F.array_except("a", "b")), "; ").alias("only_a"), F.array_join(F.array_sort(F.array_except("b", "a")), "; ").alias("only_b")).where("only_a <> '' OR only_b <> ''")
+
+
+def coherence_checks() -> list[tuple[str, str, str, Column]]:
+    """Fields of one label that contradict each other: real values beside `no document`, half of a descriptor."""
+    fields = ("nonmedicinal_ingredients", "pack_size", "pack_style", "color", "shape", "size_mm", "weight", "ph")
+    real = {f: real_value(F.col(f)) for f in (*fields, "active_ingredient")}
+    none = {f: F.coalesce(F.lower(F.trim(f)) == "no pm available", F.lit(False)) for f in fields}
+    any_of = lambda d: F.exists(F.array(*d), lambda x: x)
+    return [
+        ("mixed_sentinel", "pdf_url", "ERROR", any_of([real[f] for f in fields]) & any_of(list(none.values()))),
+        ("ingredient_blank", "active_ingredient", "ERROR", F.col("drug_code").isNotNull() & ~real["active_ingredient"]),
+        ("no_appearance", "color", "WARN", real["nonmedicinal_ingredients"] & ~real["color"] & ~real["shape"]),
+        ("weight_without_size", "size_mm", "WARN", real["weight"] & ~real["size_mm"]),
+        ("size_without_weight", "weight", "WARN", real["size_mm"] & ~real["weight"]),
+    ]

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from rxloom.functions.arrow import arrow_schema
 
 KINDS = np.array(["added", "removed", "changed"])
+#: Rows that a bucket's task is meant to hold at most: three arrays of numbers.
+BUCKET_ROWS = 2_000_000
 CHANGES = "snapshot_no int, key long, change_kind string"
 
 
@@ -61,17 +63,18 @@ def diff_arrays(snap: np.ndarray, key: np.ndarray, digest: np.ndarray, order: li
     return tuple(np.concatenate(x) for x in zip(*parts))  # type: ignore[return-value]
 
 
-def snapshot_changes(latest: DataFrame, compared: list[str], snapshots: list[int]) -> DataFrame:
+def snapshot_changes(latest: DataFrame, compared: list[str], snapshots: list[int], rows: int = 0) -> DataFrame:
     """(snapshot_no, key, change_kind) for each pair of consecutive snapshots in the sorted list given.
 
-    latest: what latest_rows gives. Compared columns differ by value, null from everything but null. An empty table or
+    latest: what latest_rows gives. rows: about how many; buckets are added to the session's partitions as they need.
+    Compared columns differ by value, null from everything but null. An empty table or
     a single snapshot gives no rows.
     """
     spark = latest.sparkSession
     target = arrow_schema(spark, CHANGES)
     digest = F.xxhash64(*[x for c in compared for x in (F.col(c), F.col(c).isNull())])
     compact = latest.select("snapshot_no", "key", digest.alias("digest"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]

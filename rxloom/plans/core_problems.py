@@ -24,14 +24,14 @@ def sales_latest(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     snapshots = distinct_snapshots(table(spark, d, "old_extract"), "snapshot_no")
-    return snapshot_changes(sales_latest(spark, d), COMPARED, snapshots).select("snapshot_no", F.col("key").alias("line_key"), "change_kind")
+    return snapshot_changes(sales_latest(spark, d), COMPARED, snapshots, table(spark, d, "old_extract").count()).select("snapshot_no", F.col("key").alias("line_key"), "change_kind")
 
 
 def p2_changes(spark: SparkSession, d: str) -> DataFrame:
     """The differing lines with their values before and after."""
     snapshots = distinct_snapshots(table(spark, d, "old_extract"), "snapshot_no")
     latest = sales_latest(spark, d)
-    return with_values(snapshot_changes(latest, COMPARED, snapshots), latest, COMPARED, snapshots).withColumnRenamed("key", "line_key")
+    return with_values(snapshot_changes(latest, COMPARED, snapshots, table(spark, d, "old_extract").count()), latest, COMPARED, snapshots).withColumnRenamed("key", "line_key")
 
 
 def strength_observations(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rxloom.functions import names as N
 from rxloom.functions.similarity import company_core_udf, strength_key_udf
 from rxloom.functions.text import amount, any_date, normalize_din
-from rxloom.operators import criteria, matcher, monograph, relational, sales
+from rxloom.operators import audit, criteria, matcher, monograph, relational, sales
 from rxloom.operators import findings as dq
 from rxloom.plans.core_problems import _AMOUNT, _DATE
 from rxloom.sources.tables import table
@@ -515,3 +515,49 @@ def monograph_fields(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def monograph_sections(spark: SparkSession, d: str) -> DataFrame:
     return monograph.sections(table(spark, d, "piqray_pages"), r"^\d* ?(?:PACKAGING|Packaging|.*COMPOSITION AND PACKAGING)\s*$", r"^\d{1,2} [A-Z][A-Z ,]+$|^(?:Description|Clinical trials)$", "page_id").withColumnRenamed("doc_id", "page_id")
+
+
+_PM = ["nonmedicinal_ingredients", "pack_size", "pack_style", "color", "shape", "size_mm", "weight", "ph"]
+_ANY_REAL = "(" + " OR ".join(_R(c) for c in _PM) + ")"
+_ANY_NONE = "(" + " OR ".join(f"coalesce(lower(trim({c})) = 'no pm available', false)" for c in _PM) + ")"
+_COHERENT = {
+    ("mixed_sentinel", "pdf_url", "ERROR"): f"{_ANY_REAL} AND {_ANY_NONE}",
+    ("ingredient_blank", "active_ingredient", "ERROR"): f"drug_code IS NOT NULL AND NOT {_R('active_ingredient')}",
+    ("no_appearance", "color", "WARN"): f"{_R('nonmedicinal_ingredients')} AND NOT {_R('color')} AND NOT {_R('shape')}",
+    ("weight_without_size", "size_mm", "WARN"): f"{_R('weight')} AND NOT {_R('size_mm')}",
+    ("size_without_weight", "weight", "WARN"): f"{_R('size_mm')} AND NOT {_R('weight')}",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT row_id, '{i}' AS check_id, '{f}' AS field, '{s}' AS severity, {f} AS value FROM store_labeling WHERE {w}" for (i, f, s), w in _COHERENT.items()))
+def label_coherence(spark: SparkSession, d: str) -> DataFrame:
+    return dq.findings(table(spark, d, "store_labeling"), "row_id", dq.coherence_checks())
+
+
+@query(
+    """SELECT row_id, 'class_missing' AS check_id, 'noc_therapeutic_class' AS field, 'INFO' AS severity, noc_therapeutic_class AS value FROM api_main WHERE (noc_therapeutic_class IS NULL OR trim(noc_therapeutic_class) = '') AND noc_date IS NOT NULL AND trim(noc_date) <> '' AND trim(noc_on_submission_type) <> ''
+ UNION ALL SELECT row_id, 'type_unknown', 'noc_on_submission_type', 'ERROR', noc_on_submission_type FROM api_main WHERE trim(noc_on_submission_type) <> '' AND trim(noc_on_submission_type) NOT IN ('NDS', 'ANDS', 'New Drug Submission (NDS)', 'Abbreviated New Drug Submission (ANDS)')
+ UNION ALL SELECT row_id, 'supplement_flag', 'noc_is_suppliment', 'WARN', noc_is_suppliment FROM api_main WHERE (coalesce(noc_is_suppliment, '') = 'Y') <> coalesce(contains(lower(noc_on_submission_type), 'supplement'), false)"""
+)
+def approval_findings(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.trim("noc_on_submission_type")
+    checks = [
+        ("class_missing", "noc_therapeutic_class", "INFO", ~(F.trim(text("noc_therapeutic_class")) != "") & (F.trim(text("noc_date")) != "") & (kind != "")),
+        ("type_unknown", "noc_on_submission_type", "ERROR", (kind != "") & ~kind.isin("NDS", "ANDS", "New Drug Submission (NDS)", "Abbreviated New Drug Submission (ANDS)")),
+        ("supplement_flag", "noc_is_suppliment", "WARN", (text("noc_is_suppliment") == "Y") != F.coalesce(F.contains(F.lower("noc_on_submission_type"), F.lit("supplement")), F.lit(False))),
+    ]
+    return dq.findings(table(spark, d, "api_main"), "row_id", checks)
+
+
+@query("SELECT row_id, 'number_length' AS check_id, 'patent_number' AS field, 'WARN' AS severity, patent_number AS value FROM store_patents WHERE length(regexp_replace(regexp_replace(trim(patent_number), '(?i)^ca\\s*', ''), '[,\\s]+', '', 'g')) <> 7 UNION ALL SELECT row_id, 'no_detail', 'detail_url', 'INFO', detail_url FROM store_patents WHERE detail_url IS NULL AND patent_number IS NOT NULL")
+def patent_findings(spark: SparkSession, d: str) -> DataFrame:
+    n = F.regexp_replace(F.regexp_replace(F.trim("patent_number"), r"(?i)^ca\s*", ""), r"[,\s]+", "")
+    return dq.findings(table(spark, d, "store_patents"), "row_id", [("number_length", "patent_number", "WARN", F.length(n) != 7), ("no_detail", "detail_url", "INFO", F.col("detail_url").isNull() & F.col("patent_number").isNotNull())])
+
+
+@query()
+def match_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Every match weighed anew against its rivals, the suspicious ones marked."""
+    sold = table(spark, d, "old_extract").where("snapshot_no = 6").select("combined_molecule", "product", "manufacturer", "strength").distinct()
+    catalogue = _catalogue(spark, d)
+    return audit.audit_matches(matcher.match_sales(sold, catalogue).where("status = 'matched'"), sold, catalogue)

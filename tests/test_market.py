@@ -176,3 +176,21 @@ def test_scale_case(spark):
     got = {r.status: r["count"] for r in match_sales(sold, products).groupBy("status").count().collect()}
     assert got == {"matched": 1000, "not_sold": 3000}
     assert time.time() - t < 30
+
+
+def test_audit(spark):
+    from rxloom.operators.audit import audit_matches, audit_pair, better, decompose
+
+    assert better(80, [(90, "a")]) is None and better(80, [(96, "a"), (95, "b")]) == (96, "a") and better(90, [(100, "a")]) == (100, "a") and better(10, [(50, "a")]) is None and better(5, []) is None
+    assert decompose((5, 7), [(1, 1), (2, 3), (3, 4), (2, 3)]) == (1, 2) and decompose((6, 8), [(1, 1), (2, 3), (3, 4)]) == (0, 1, 2) and decompose((9, 9), [(9, 9)]) is None
+    g = {"product": "P", "manufacturer": "ACME", "brand": "zzz", "company": "acme", "molecule": "ZZZ"}
+    p = {"din": "1", "brand": "acme-brando", "company": "acme"}
+    assert audit_pair(g, p, [g], [p])[5:] == ("company_carried", "", pytest.approx(72 - ratio("acme-brando", "zzz"), abs=0.1), "low")
+    swap = {"din": "2", "brand": "zzz", "company": "acme"}
+    assert audit_pair(g, p, [g], [p, swap])[5:7] == ("company_carried,better_product", "2")
+    sold = spark.createDataFrame([("MOLX", "PMS-MOLX", "PMS", "10MG"), ("MOLX", "APO-MOLX", "APOTEX", "10MG"), (None, "Q", "PMS", "5MG")], "combined_molecule string, product string, manufacturer string, strength string")
+    products = spark.createDataFrame([("1", "MOLX", "PRZ-MOLX", "PMS INC", "10 MG", "marketed"), ("2", "MOLX", "PMS-MOLX", "PMS INC", "10 MG", "marketed"), ("3", "MOLX", "APO-MOLX", "APOTEX", "10 MG", "marketed")], "din string, ingredient string, brand_name string, company string, strength string, status string")
+    wrong = sold.withColumn("din", F.when(F.col("product") == "PMS-MOLX", "1").when(F.col("product") == "APO-MOLX", "3").otherwise(""))
+    got = {r.din: r for r in audit_matches(wrong, sold, products).collect()}
+    assert got["1"].flags == "better_product" and got["1"].rival == "2" and got["3"].flags == "" and got["3"].tier == "none" and len(got) == 2
+    assert audit_matches(wrong.limit(0), sold, products).count() == 0
