@@ -375,8 +375,9 @@ class Monograph:
         for p, lines in enumerate(self.lines):
             q = same.get(self.numbers[p], p) if self.twin[p] else p
             for i, line in enumerate(lines):
-                if i in self.run[p]:
+                if i in self.run[p]:  # it goes as a whole, whatever was misread in it
                     yield self.ids[p], i + 1, "running_line", ""
+                    continue
                 tokens = line.split()
                 if (p, i) in breaks:
                     tokens = tokens[:-1]
@@ -449,7 +450,7 @@ def repair(pages: DataFrame, paragraphs: bool = False) -> DataFrame:
     """Defects (page_id, line_no, defect, word) of all pages, or the paragraphs of each monograph.
 
     pages: page_id unique, monograph_id, page, text; a monograph's pages have neighbouring ids. Null and empty pages
-    have no defects; a page fed twice has its defects twice and its paragraphs once. Pages without monograph_id are read
+    have no defects; a running line has no other defect; a page fed twice has its defects twice and its paragraphs once. Pages without monograph_id are read
     as one monograph; a page without page_id can't be named and is left out. Extra columns are ignored. An empty table gives no rows.
     """
     spark = pages.sparkSession
