@@ -31,6 +31,52 @@ def container_labels(text: str) -> list[str]:
     return [c.title() for c in out]
 
 
+_DOSES = r"(?:COUNT|TABLETS?|TABS?|CAPSULES?|CAPS?|UNITS?)"
+_SHOWN = {"G": "g", "ML": "mL", "L": "L"}
+
+
+def _measures(t: str) -> str | None:
+    """Sizes of one unit with a slash between them, or a single volume that is no concentration."""
+    several = re.findall(r"\b(\d+(?:\.\d+)?)\s*(G|ML|L)\b", t) if "/" in t else []
+    if len(several) > 1 and len({u for _, u in several}) == 1:
+        return ", ".join(f"{n} {_SHOWN[u]}" for n, u in several)
+    one = re.search(r"(?<![^\s.,(-])(\d+(?:\.\d+)?)\s*(ML|L)\b(?!\s*/)", t)
+    return f"{float(one[1]):g} {_SHOWN[one[2]]}" if one else None
+
+
+def _slashed(t: str) -> str | None:
+    m = re.search(r"\b\d+(?:/\d+)+\b", t)
+    return ", ".join(m[0].split("/")) + " count" if m else None
+
+
+def _contained(t: str) -> str | None:
+    """Counts with the container they stand before or after; the container is named if there are several."""
+    found: list[tuple[int, str]] = []
+    for c in CONTAINERS:
+        if any(c in WITHIN.get(o, []) for _, o in found):
+            continue
+        word = rf"{c.upper()}(?:S|ES)?"
+        m = re.search(rf"\b(\d+)\s+{_DOSES}\s+{word}\b", t) or re.search(rf"\b{word}\s+OF\s+(\d+)\b", t)
+        if m:
+            found.append((m.start(), c + "=" + m[1]))
+    found.sort()
+    pairs = [x.split("=") for _, x in found]
+    if len(pairs) == 1:
+        return f"{pairs[0][1]} count"
+    return "; ".join(f"{n}-count {c}" for c, n in pairs) or None
+
+
+def _counts(t: str) -> str | None:
+    found = dict.fromkeys(re.findall(rf"\b(\d+)\s+{_DOSES}\b", t) + re.findall(r"\bOF\s+(\d+)\b", t))
+    return "; ".join(f"{n} count" for n in found) or None
+
+
+def pack_size(text: str | None) -> str | None:
+    """Size of a package from free text: measures, then slashed counts, counts of containers, bare counts."""
+    t = (text or "").upper()
+    return next((r for rule in (_measures, _slashed, _contained, _counts) if (r := rule(t))), None)
+
+
 def section(lines: list[str], start: re.Pattern, end: re.Pattern) -> tuple[int, int] | None:
     """(first, past the last) line of the section after the first start marker that is no contents entry."""
     for i, line in enumerate(lines):

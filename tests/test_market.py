@@ -8,7 +8,7 @@ from rxloom.functions.names import base_form, brand_identity, company_identity,
 from rxloom.functions.similarity import best_options, company_core, fuzzy_contains, ratio, strength_tokens, truncated_brand
 from rxloom.operators import criteria, relational, sales
 from rxloom.operators.matcher import generic_brand, match_groups, match_sales
-from rxloom.operators.monograph import container_labels, contents_share, document_fields, ph_values, sections
+from rxloom.operators.monograph import container_labels, contents_share, document_fields, pack_size, ph_values, sections
 from rxloom.sources.files import canary, extract_records, html_rows, html_tables, json_records, metric_period, sales_extract, table_json, write_tabs
 from rxloom.streaming import jobs
 
@@ -136,6 +136,17 @@ def test_html(spark):
     assert [(r.id, r.cells) for r in got] == [(1, ["A", "B"]), (1, ["x, y", "&"])]
 
 
+@pytest.mark.parametrize(
+    ("text", "style", "size"),
+    [
+        ("FOR I.V. INFUSION ONLY. 80MG/ML(RECONST.) - 5ML VIAL.", ["Vial"], "5 mL"), ("24/50/100/200", [], "24, 50, 100, 200 count"), ("1ML PREFILLED SYRINGE", ["Prefilled Syringe"], "1 mL"), ("BLISTER PACK 100/500", ["Blister Pack"], "100, 500 count"),
+        ("8 COUNT BLISTERS AND BOTTLES OF 120 CAPSULES", ["Blister", "Bottle"], "8-count blister; 120-count bottle"), ("8 COUNT BLISTERS", ["Blister"], "8 count"), ("20g/50g/500g", [], "20 g, 50 g, 500 g"), ("100 TABLETS", [], "100 count"), ("", [], None), (None, [], None),
+    ],
+)
+def test_pack_sizes(text, style, size):
+    assert pack_size(text) == size and container_labels(text or "") == style
+
+
 def test_monograph(spark):
     assert container_labels("Blister packs and bottles of 30; 1 mL prefilled syringe") == ["Prefilled Syringe", "Blister Pack", "Bottle"]
     assert contents_share(["A ..... 3", "b", ""]) == 0.5 and ph_values("at pH 6.8") == "6.8" and ph_values("pH 5 to 7") == "5-7" and ph_values("pH 21") is None
