@@ -362,6 +362,14 @@ def document_statistics(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
             cols = [ids, *(pa.array(list(c), target.field(i + 1).type) for i, c in enumerate(zip(*rows)))] if rows else [pa.array([], f.type) for f in target]
             yield pa.RecordBatch.from_arrays(cols, schema=target)
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                for start in range(0, len(t), FAN * chunk):
+                    parts = [t[i : i + chunk] for i in range(start, min(len(t), start + FAN * chunk), chunk)]
+                    numbers = range(start // chunk, start // chunk + len(parts))
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(parts), pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.string())], names=["doc_id", "chunk_no", "text"])
+
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [pickle.dumps(to_tuple(chunk_state(t))) for t in b.column("text").to_pylist()]
@@ -383,9 +391,8 @@ def document_statistics(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     short = base.where(F.length("text") <= chunk).mapInArrow(whole, STATS)
     long = base.where(F.length("text") > chunk)
-    pieces = long.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))).alias("chunk_no"), "text").select(
-        "doc_id", "chunk_no", F.substring("text", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("text")
-    )
+    # cut in one pass over the text, then spread, so that the chunks of a huge document are read by many tasks
+    pieces = long.mapInArrow(split, "doc_id long, chunk_no int, text string").repartition("doc_id", "chunk_no")
     state = "doc_id long, chunk_no int, state binary"
     tree = pieces.mapInArrow(states, state).groupBy("doc_id", F.floor(F.col("chunk_no") / FAN)).applyInPandas(partly, state)
     return short.unionByName(tree.groupBy("doc_id").applyInPandas(final, STATS))
