@@ -139,8 +139,8 @@ def catalogue_search(spark: SparkSession, d: str) -> DataFrame:
     """Codes of all terms together, sorted, capped at a preview of 150, with the number before the cap."""
     a, p = table(spark, d, "activeingredient"), table(spark, d, "drugproduct")
     codes = a.where(F.contains(F.lower("ingredient_name"), F.lit("bafi"))).select("drug_code").union(p.where(F.contains(F.lower("brand_name"), F.lit("zov-"))).select("drug_code")).distinct()
-    total = codes.agg(F.count("*").alias("total_matches"))
-    return p.join(F.broadcast(codes.orderBy("drug_code").limit(150)), "drug_code", "left_semi").select("drug_code", "row_id", "brand_name").join(F.broadcast(total))
+    total = F.lit(codes.count()).cast("long").alias("total_matches")
+    return p.join(F.broadcast(codes.orderBy("drug_code").limit(150)), "drug_code", "left_semi").select("drug_code", "row_id", "brand_name", total)
 
 
 @query("""WITH hit AS (SELECT noc_number, noc_pi_din_product_id, min(row_id) AS first FROM api_medicinalingredient WHERE contains(upper(noc_pi_medic_ingr_name), 'WEXANE') GROUP BY ALL),
@@ -466,8 +466,8 @@ def job_latest(spark: SparkSession, d: str) -> DataFrame:
 def cache_view(spark: SparkSession, d: str) -> DataFrame:
     """Entries that haven't expired: last write per key within the time to live."""
     e = table(spark, d, "events")
-    now = e.agg((F.max("ts") - F.expr("INTERVAL 7 DAYS")).alias("oldest"))
-    return e.groupBy("user_id", "event_type").agg(F.max("ts").alias("stored")).join(F.broadcast(now)).where("stored >= oldest").drop("oldest")
+    oldest = e.agg((F.max("ts") - F.expr("INTERVAL 7 DAYS")).cast("string")).first()[0]
+    return e.groupBy("user_id", "event_type").agg(F.max("ts").alias("stored")).where(F.col("stored") >= F.lit(oldest).cast("timestamp_ntz"))
 
 
 
