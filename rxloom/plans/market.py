@@ -509,12 +509,12 @@ def strength_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def monograph_fields(spark: SparkSession, d: str) -> DataFrame:
-    return monograph.document_fields(table(spark, d, "piqray_pages"), "page_id").withColumnRenamed("doc_id", "page_id")
+    return monograph.page_fields(table(spark, d, "piqray_pages"))
 
 
 @query()
 def monograph_sections(spark: SparkSession, d: str) -> DataFrame:
-    return monograph.sections(table(spark, d, "piqray_pages"), r"^\d* ?(?:PACKAGING|Packaging|.*COMPOSITION AND PACKAGING)\s*$", r"^\d{1,2} [A-Z][A-Z ,]+$|^(?:Description|Clinical trials)$", "page_id").withColumnRenamed("doc_id", "page_id")
+    return monograph.page_sections(table(spark, d, "piqray_pages"), r"^\d* ?(?:PACKAGING|Packaging|.*COMPOSITION AND PACKAGING)\s*$", r"^\d{1,2} [A-Z][A-Z ,]+$|^(?:Description|Clinical trials)$")
 
 
 _PM = ["nonmedicinal_ingredients", "pack_size", "pack_style", "color", "shape", "size_mm", "weight", "ph"]

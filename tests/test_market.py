@@ -8,7 +8,7 @@ from rxloom.functions.names import base_form, brand_identity, company_identity,
 from rxloom.functions.similarity import best_options, company_core, fuzzy_contains, ratio, strength_tokens, truncated_brand
 from rxloom.operators import criteria, relational, sales
 from rxloom.operators.matcher import generic_brand, match_groups, match_sales
-from rxloom.operators.monograph import container_labels, contents_share, document_fields, pack_size, ph_values, sections
+from rxloom.operators.monograph import container_labels, contents_share, document_fields, fields, pack_size, page_fields, page_sections, ph_values, sections
 from rxloom.sources.files import canary, extract_records, html_rows, html_tables, json_records, metric_period, sales_extract, table_json, write_tabs
 from rxloom.streaming import jobs
 
@@ -156,6 +156,29 @@ def test_monograph(spark):
     assert [(x.first_line, x.text) for x in sections(df, "^PACKAGING", "^2 ").collect()] == [(4, "Vials")]
 
 
+PAGED = "page_id long, monograph_id long, page int, text string"
+
+
+@pytest.mark.parametrize("size", [1, 2, 1024])
+def test_monograph_pages(spark, monkeypatch, size):
+    import rxloom.operators.monograph as monograph
+
+    monkeypatch.setattr(monograph, "PAGES", size)
+    texts = ["Oval tablets\nPACKAGING", "Blister packs of 30\nPACKAGING.", None, "see\nPACKAGING\nbottles of", "100 vials\n2 NEXT\nx\n3 END\nPACKAGING\nyes\n4 PACKAGING", "pH 6.8\n5 MORE", "white\nPACKAGING ..... 4\nPACKAGING"]
+    rows = [(i, 1, i + 1, t) for i, t in enumerate(texts)] + [(9, 1, 2, texts[1]), (10, 1, 4, ""), (11, 2, 5, "pH 5\nPACKAGING\nbag"), (12, None, 5, "PACKAGING\nvial"), (13, None, 6, "jar"), (14, 3, None, None)]
+    df = spark.createDataFrame(rows, PAGED).repartition(3)
+    got: dict = {}
+    for r in sorted(page_sections(df, "^(4 )?PACKAGING", "^[2-9] ").collect(), key=lambda r: r.part):
+        got.setdefault((r.monograph_id, r.page, r.first_line), []).append(r.text)
+    want = {
+        (1, 1, 3): "Blister packs of 30\nPACKAGING.\nsee\nPACKAGING\nbottles of\n100 vials", (1, 5, 6): "yes", (1, 5, 8): "pH 6.8", (1, 7, 4): "", (2, 5, 3): "bag", (None, 5, 2): "vial",
+    }
+    assert {k: "\n".join(x for x in v if x) for k, v in got.items()} == want
+    said = {r.monograph_id: tuple(r)[1:] for r in page_fields(df).where("monograph_id IS NOT NULL").collect()}
+    assert said == {1: fields("\n".join(t for t in texts if t)), 2: fields(rows[9][3]), 3: fields(None)}
+    assert page_fields(df).where("monograph_id IS NULL").count() == 2
+
+
 def test_streams(spark, tmp_path):
     src, t = str(tmp_path / "in"), dt.datetime(2024, 1, 1)
     rows = [(i, t + dt.timedelta(minutes=i), i % 3, "e", 1.0, "{}") for i in range(30)]
