@@ -7,13 +7,18 @@ change of unit, and reversing it brings the history to one level; where a segmen
 unit that the shift from the nearest segment with one implies. Amounts of observations with a unit of their own follow
 from that unit by exact rational arithmetic; the segmentation says for each of them whether its history agrees.
 
-Plan: one shuffle of compact rows (history hash, order, number, unit) into partitions sorted by history; partitions
-are streamed, and a history longer than BLOCK observations is segmented block by block. Histories with more than HOT
-observations are found by a partial aggregation and spread over tasks by blocks of their order.
+Plan: one shuffle of compact rows (history hash, order, number, unit) into ranges of history and order, so that a hot
+history is spread over tasks by the order of its rows; the ranges are kept and streamed. A history longer than BLOCK
+observations, or in several ranges, is searched block by block: a first pass sums up its blocks (first and last segments,
+first and last known units), the driver joins segments over block borders where that lowers the penalised cost, and a
+second pass numbers the segments and fills in units by what is before and after each block. The search is exact within a
+block. The driver gets one summary for each BLOCK observations of such histories and two or so for each range.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +28,11 @@ from pyspark.sql import functions as F
 
 from rxloom.functions.arrow import Memo, arrow_schema
 from rxloom.functions.quantity import quantities, rounded
+from rxloom.session import cut
 
 PARSED = "source_table string, row_id long, history long, at long, position_no int, value double, unit_kind string, unit_factor double, amount long"
 CONVERTED = "source_table string, row_id long, position_no int, value double, quantity_kind string, amount long, unit_source string, segment_no int, level_shift double"
+#: Observations of a block, and of what a task holds at once.
 BLOCK, HOT = 4096, 50_000
 #: Penalty of a further segment in squared log10 units, and how near a shift must come to a known ratio.
 PENALTY, NEAR = 0.001, 0.02
@@ -62,39 +69,88 @@ def known_shift(d: float) -> bool:
     return bool(np.min(np.abs(np.abs(d) - KNOWN_SHIFTS)) < NEAR)
 
 
-def convert_history(value: np.ndarray, kind: list, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
-    """(segment of each observation, level shift into it, kind and factor implied where none is written)."""
+def joined(a: tuple, b: tuple) -> tuple:
+    """(observations, mean, written units) of two parts of a segment; more than one unit tells as much as many."""
+    n = a[0] + b[0]
+    return n, (a[0] * a[1] + b[0] * b[1]) / n, list(dict.fromkeys([*a[2], *b[2]]))[:2]
+
+
+def history_segments(value: np.ndarray, kind: list, factor: np.ndarray) -> tuple[np.ndarray, list, list]:
+    """(positive observations, bounds of the segments among them, (observations, mean, written units) of each)."""
+    where = np.flatnonzero(value > 0)
+    level = np.log10(value[where])
+    starts = segment(level)
+    bounds = list(zip(starts, [*starts[1:], len(where)]))
+    units = [list(dict.fromkeys((kind[i], float(factor[i])) for i in where[a:b] if kind[i] not in (None, "unknown")))[:2] for a, b in bounds]
+    return where, bounds, [(b - a, float(level[a:b].mean()), u) for (a, b), u in zip(bounds, units)]
+
+
+def summary(found: list[tuple]) -> tuple[int, dict[int, tuple]]:
+    """What other blocks need of a block: number of its segments; the first, the last two, and the outer inner ones with a unit."""
+    n = len(found)
+    known = [k for k in range(1, n - 1) if len(found[k][2]) == 1]
+    return n, {k: found[k] for k in sorted({0, n - 2, n - 1, *known[:1], *known[-1:]}) if 0 <= k < n}
+
+
+def carried(summaries: list[tuple[int, dict[int, tuple]]]) -> list[tuple]:
+    """For each block of a history: (number of its first segment, that and the last one as joined over the borders, mean of
+    the segment before, nearest segment with a unit before its first and after its last one, each (number, mean, units))."""
+    whole: dict[int, tuple] = {}
+    bases, last = [], -1
+    for n, some in summaries:
+        base = last + 1
+        if n and last >= 0:
+            (n1, m1, _), (n2, m2, _) = whole[last], some[0]
+            base -= n1 * n2 / (n1 + n2) * (m1 - m2) ** 2 <= PENALTY
+        for k, x in some.items():
+            whole[base + k] = joined(whole[base], x) if base + k in whole else x
+        bases.append(base)
+        last = base + n - 1 if n else last
+    tell = lambda k: None if k is None else (k, *whole[k][1:])
+    known = sorted(k for k, x in whole.items() if len(x[2]) == 1)
+    numbers = np.array(known, np.int64)
+    out = []
+    for base, (n, _) in zip(bases, summaries):
+        i, j = int(np.searchsorted(numbers, base)), int(np.searchsorted(numbers, base + n - 1, "right"))
+        ends = (whole[base], whole[base + n - 1]) if n else (None, None)
+        out.append((base, *ends, whole[base - 1][1] if n and base else None, tell(known[i - 1] if i else None), tell(known[j] if j < len(known) else None)))
+    return out
+
+
+def convert_history(value: np.ndarray, kind: list, factor: np.ndarray, carry: tuple | None = None) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+    """(segment of each observation, level shift into it, kind and factor implied where none is written).
+
+    carry is what the other blocks of a history say of this one; see carried().
+    """
     n = len(value)
-    level = np.log10(np.where(value > 0, value, np.nan))
-    ok = ~np.isnan(level)
     seg, shift, kinds, factors = np.ones(n, np.int32), np.zeros(n), list(kind), factor.copy()
-    where = np.flatnonzero(ok)
+    where, bounds, found = history_segments(value, kinds, factor)
     if not len(where):
         return seg, shift, kinds, factors
-    starts = segment(level[where])
-    bounds = list(zip(starts, [*starts[1:], len(where)]))
-    means = np.array([level[where[a:b]].mean() for a, b in bounds])
-    unit: list = []
+    base, before, near = 0, None, {}
+    if carry:
+        base, found[0], found[-1], before = carry[:4]
+        near = {x[0] - base: x[1:] for x in carry[4:] if x}
+    near |= {k: x[1:] for k, x in enumerate(found) if len(x[2]) == 1}
+    means = [x[1] for x in found]
     for k, (a, b) in enumerate(bounds):
         at = where[a:b]
-        seg[at], shift[at] = k + 1, means[k] - means[k - 1] if k else 0.0
-        own = [i for i in at if kinds[i] not in (None, "unknown")]
-        unit.append((kinds[own[0]], factors[own[0]]) if own and len({(kinds[i], factors[i]) for i in own}) == 1 else None)
-    known = [k for k, u in enumerate(unit) if u]
-    for k, (a, b) in enumerate(bounds):
-        for i in where[a:b]:
-            if kinds[i] is None and known:
-                j = min(known, key=lambda j: (abs(j - k), j))
-                d = means[k] - means[j]
-                if abs(d) < NEAR or known_shift(d):
-                    kinds[i], factors[i] = unit[j][0], unit[j][1] * 10 ** -(round(d, 2) if abs(d) >= NEAR else 0.0)
+        former = means[k - 1] if k else before
+        seg[at], shift[at] = base + k + 1, 0.0 if former is None else means[k] - former
+        bare = [i for i in at if kinds[i] is None]
+        if bare and near:
+            level, units = near[min(near, key=lambda j: (abs(j - k), j))]
+            d = means[k] - level
+            if abs(d) < NEAR or known_shift(d):
+                for i in bare:
+                    kinds[i], factors[i] = units[0][0], units[0][1] * 10 ** -(round(d, 2) if abs(d) >= NEAR else 0.0)
     return seg, shift, kinds, factors
 
 
 def parse_quantities(sources: list[tuple[str, DataFrame]]) -> DataFrame:
     """Observations of sources given as (name, rows of row_id, history, at, strength, unit).
 
-    Null or number-less strengths give none; a null history is one of its own, a null order the first. The amount is filled where the number has a unit of a known kind.
+    Null or number-less strengths give none; a row of a null history has one of its own, a null order is the first. The amount is filled where the number has a unit of a known kind.
     """
     spark = sources[0][1].sparkSession
     target = arrow_schema(spark, PARSED)
@@ -121,7 +177,7 @@ def parse_quantities(sources: list[tuple[str, DataFrame]]) -> DataFrame:
 
     rows = None
     for name, df in sources:
-        one = df.select(F.lit(name).alias("source_table"), F.col("row_id").cast("long"), F.coalesce(F.col("history").cast("long"), F.lit(0)).alias("history"), F.coalesce(F.col("at").cast("long"), F.lit(0)).alias("at"), F.col("strength").cast("string"), F.col("unit").cast("string"))
+        one = df.select(F.lit(name).alias("source_table"), F.col("row_id").cast("long"), F.coalesce(F.col("history").cast("long"), F.xxhash64(F.lit("alone"), F.col("row_id").cast("long"))).alias("history"), F.coalesce(F.col("at").cast("long"), F.lit(0)).alias("at"), F.col("strength").cast("string"), F.col("unit").cast("string"))
         rows = one if rows is None else rows.unionByName(one)
     return rows.where("strength RLIKE '[0-9]'").mapInArrow(run, PARSED)
 
@@ -135,55 +191,94 @@ def convert_quantities(observations: DataFrame) -> DataFrame:
     """
     spark = observations.sparkSession
     target = arrow_schema(spark, CONVERTED)
-    key = F.xxhash64("source_table", "history", "position_no").alias("h")
-    hot = observations.groupBy(key).count().where(F.col("count") > HOT).select("h", F.lit(True).alias("hot"))
-    rows = observations.withColumn("h", key)
-    # at most one hot history for each HOT rows, so this side is bounded by the rows over HOT
-    salted = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("hot"), F.coalesce(F.floor(F.col("at") / F.lit(HOT)), F.lit(0))).otherwise(F.lit(0))).drop("hot")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = salted.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "at", "row_id")
-
-    def convert(t: pa.Table) -> pa.RecordBatch:
-        value, factor = t.column("value").to_numpy(), t.column("unit_factor").to_numpy()
-        kind = np.array(t.column("unit_kind").to_pylist(), object)
-        amount = t.column("amount").to_pylist()
-        h, salt = t.column("h").to_numpy(), t.column("salt").to_numpy()
-        n = len(value)
-        seg, shift = np.ones(n, np.int32), np.zeros(n)
-        source = np.where(kind == None, "none", np.where(kind == "unknown", "unknown", "written")).astype(object)  # noqa: E711
-        cut = np.flatnonzero((h[1:] != h[:-1]) | (salt[1:] != salt[:-1])) + 1
-        starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [n]))
-        # one segment where the number never changes and every unit is written: nothing to search
-        low, high = np.minimum.reduceat(value, starts), np.maximum.reduceat(value, starts)
-        bare = np.add.reduceat((source == "none").astype(np.int64), starts) > 0
-        for g in np.flatnonzero((low != high) | (bare & (ends - starts > 1))):
-            for a in range(starts[g], ends[g], BLOCK):
-                e = slice(a, min(a + BLOCK, ends[g]))
-                seg[e], shift[e], kinds, factors = convert_history(value[e], list(kind[e]), factor[e])
-                for i, (k, f) in enumerate(zip(kinds, factors), a):
-                    if kind[i] is None and k is not None:
-                        kind[i], source[i], amount[i] = k, "segment", int(round(value[i] * f))
-        kind[kind == "unknown"] = None
-        cols = [t.column("source_table"), t.column("row_id"), t.column("position_no"), t.column("value"), pa.array(kind.tolist(), pa.string()), pa.array(amount, pa.int64()), pa.array(source.tolist(), pa.string()), pa.array(seg), pa.array(shift)]
-        return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], schema=target)
+    size, hold = BLOCK, max(BLOCK + 1, HOT)
+    rows = observations.withColumn("h", F.xxhash64("source_table", "history", "position_no"))
+    laid = rows.repartitionByRange(parts, "h", "at", "row_id").sortWithinPartitions("h", "at", "row_id").withColumn("part", F.spark_partition_id())
+    laid = cut(laid.drop("history"))  # both passes must see the same ranges
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, bool]]:
+        """(rows of whole histories or of whole blocks of one, blocks of the first history that went before, last of the range)."""
         held: list[pa.RecordBatch] = []
-        rows = 0
+        n, done, former = 0, 0, None
+
+        def counted(t: pa.Table, last: bool) -> tuple[pa.Table, int, bool]:
+            nonlocal done, former
+            h = t.column("h").to_numpy()
+            before = done if former == h[0] else 0
+            former = h[-1]
+            done = (before if h[0] == former else 0) + (len(h) - int(np.searchsorted(h, former))) // size
+            return t, before, last
+
         for b in batches:
             held.append(b)
-            rows += b.num_rows
-            if rows < 4 * BLOCK:
+            n += b.num_rows
+            if n < hold:
                 continue
             t = pa.Table.from_batches(held)
             h = t.column("h").to_numpy()
             keep = int(np.searchsorted(h, h[-1]))  # the last history may go on in the next batch
             if keep == 0:
-                keep = rows - rows % BLOCK  # one history fills all that is held: a whole number of blocks goes
-            yield from convert(t.slice(0, keep)).to_batches()
+                keep = (n - 1) // size * size  # one history fills all that is held: a whole number of blocks goes
+            yield counted(t.slice(0, keep), False)
             held = t.slice(keep).to_batches()
-            rows -= keep
-        if rows:
-            yield from convert(pa.Table.from_batches(held)).to_batches()
+            n -= keep
+        if n:
+            yield counted(pa.Table.from_batches(held), True)
+
+    def columns(t: pa.Table) -> tuple:
+        value, factor, h = (t.column(c).to_numpy() for c in ("value", "unit_factor", "h"))
+        starts = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1))
+        return value, factor, np.array(t.column("unit_kind").to_pylist(), object), h, starts, np.concatenate((starts[1:], [len(h)]))
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for t, done, last in chunks(batches):
+            value, factor, kind, h, starts, ends = columns(t)
+            part, out = t.column("part")[0].as_py(), []
+            for g in {*np.flatnonzero(ends - starts > size), *([0] if first or done else []), *([len(starts) - 1] if last else [])}:
+                for k, a in enumerate(range(starts[g], ends[g], size), done if g == 0 else 0):
+                    e = slice(a, min(a + size, ends[g]))
+                    out.append((int(h[a]), part, k, pickle.dumps(summary(history_segments(value[e], list(kind[e]), factor[e])[2]))))
+            first = False
+            yield pa.RecordBatch.from_pydict({c: [x[j] for x in out] for j, c in enumerate(brief.names)}, schema=brief)
+
+    brief = arrow_schema(spark, "h long, part int, block int, body binary")
+    told: dict[int, list] = defaultdict(list)
+    for x in laid.mapInArrow(sum_up, "h long, part int, block int, body binary").toLocalIterator():
+        told[x.h].append((x.part, x.block, pickle.loads(x.body)))
+    carries: dict[tuple, tuple] = {}
+    for h, some in told.items():
+        if len(some) > 1:
+            some.sort(key=lambda x: x[:2])
+            carries |= {(h, *x[:2]): c for x, c in zip(some, carried([x[2] for x in some]))}
+    shared = spark.sparkContext.broadcast(carries)
+
+    def convert(t: pa.Table, done: int) -> pa.RecordBatch:
+        value, factor, kind, h, starts, ends = columns(t)
+        amount, n, part = t.column("amount").to_pylist(), t.num_rows, t.column("part")[0].as_py()
+        carry = shared.value
+        seg, shift = np.ones(n, np.int32), np.zeros(n)
+        source = np.where(kind == None, "none", np.where(kind == "unknown", "unknown", "written")).astype(object)  # noqa: E711
+        # one segment where the number never changes and every unit is written: nothing to search
+        low, high = np.minimum.reduceat(value, starts), np.maximum.reduceat(value, starts)
+        bare = np.add.reduceat((source == "none").astype(np.int64), starts) > 0
+        several = np.zeros(len(starts), bool)
+        for g in {*np.flatnonzero(ends - starts > size), 0, len(starts) - 1}:
+            several[g] = (int(h[starts[g]]), part, done if g == 0 else 0) in carry
+        for g in np.flatnonzero((low != high) | (bare & (ends - starts > 1)) | several):
+            for k, a in enumerate(range(starts[g], ends[g], size), done if g == 0 else 0):
+                e = slice(a, min(a + size, ends[g]))
+                seg[e], shift[e], kinds, factors = convert_history(value[e], list(kind[e]), factor[e], carry.get((int(h[a]), part, k)))
+                for i, (w, f) in enumerate(zip(kinds, factors), a):
+                    if kind[i] is None and w is not None:
+                        kind[i], source[i], amount[i] = w, "segment", int(round(value[i] * f))
+        kind[kind == "unknown"] = None
+        cols = [t.column("source_table"), t.column("row_id"), t.column("position_no"), t.column("value"), pa.array(kind.tolist(), pa.string()), pa.array(amount, pa.int64()), pa.array(source.tolist(), pa.string()), pa.array(seg), pa.array(shift)]
+        return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, done, _ in chunks(batches):
+            yield from convert(t, done).to_batches()
 
     return laid.mapInArrow(run, CONVERTED)

@@ -68,3 +68,17 @@ def test_hot_history_keeps_all_rows(spark, monkeypatch):
     got = units.convert_quantities(units.parse_quantities([("t", df)]))
     assert got.count() == 2000
     assert got.where("amount = 5000").count() >= 1990
+
+
+def test_blocks_and_ranges_of_a_history_change_nothing(spark, monkeypatch):
+    import rxloom.operators.units as units
+
+    # a level shift at the border of blocks of 64 and of 4,096, one unit in all the history, and a history that comes before and after it
+    df = spark.range(4900).selectExpr("id row_id", "CASE WHEN id < 4800 THEN 1L WHEN id < 4880 THEN 2L END history", "1L at", "CASE WHEN id < 4096 THEN '0.3' WHEN id % 100 = 7 THEN '40' ELSE '300' END strength", "CASE WHEN id = 100 THEN 'G' WHEN id = 4890 THEN 'MG' END unit")
+    ask = lambda: {r.row_id: (r.unit_source, r.amount, r.segment_no, round(r.level_shift, 6)) for r in units.convert_quantities(units.parse_quantities([("t", df)])).collect()}
+    whole = ask()
+    monkeypatch.setattr(units, "HOT", 100)
+    monkeypatch.setattr(units, "BLOCK", 64)
+    got = ask()
+    assert got == whole and len(got) == 4900
+    assert got[4096] == ("segment", 300_000, 2, 3.0) and got[0][:2] == ("segment", 300_000) and got[4890][0] == "written" and got[4891][0] == "none"
