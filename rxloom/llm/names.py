@@ -12,8 +12,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator, Sequence
+from functools import cmp_to_key, lru_cache
 from itertools import permutations
 
 import pandas as pd
@@ -80,6 +80,19 @@ def fold(s: str) -> str:
     return s
 
 
+def token_orders(core: list[str]) -> Iterable[Sequence[str]]:
+    """All orders of up to four words; of more, as written, reversed, and the least with no or one word moved.
+
+    The least order (of all as strings without blanks) is among them, so the same words give the same least key. An error
+    at the start of a word moves that word only.
+    """
+    if len(core) <= 4:
+        return permutations(core)
+    least = sorted(core, key=cmp_to_key(lambda a, b: (a + b > b + a) - (a + b < b + a)))
+    moved = [[*(rest := least[:i] + least[i + 1 :])[:j], w, *rest[j:]] for i, w in enumerate(least) for j in range(len(core))]
+    return [core, core[::-1], *moved]
+
+
 def parse_name(spelling: str) -> dict:
     """Parts of a name; key: its core without blanks, in the order written."""
     out: dict = {"given": "", "business": "", "region": "", "legal": "", "acronym": ""}
@@ -106,10 +119,8 @@ def parse_name(spelling: str) -> dict:
         out["given"] = initial
     if len(core) == 1 and 2 <= len(core[0]) <= 4 and not out["business"] and not out["given"]:
         out["acronym"] = core[0]
-    core = core[:5]
     out["key"] = "".join(core)
-    orders = permutations(core) if len(core) <= 3 else (core, core[::-1])
-    out["orders"] = sorted({"".join(p) for p in orders})
+    out["orders"] = sorted({"".join(p) for p in token_orders(core)})
     # what an acronym of the name would be: given name, core and line of business by their first letters
     out["initials"] = (out["given"][:1] + "".join(w[0] for w in core) + out["business"][:1]) if out["business"] else ""
     return out
@@ -192,7 +203,7 @@ def link_names(names: DataFrame, rows: int) -> DataFrame:
     # a unit is what is surely one firm: same core in any order, line of business and given name
     canon = F.array_min("orders")
     units = full.groupBy(canon.alias("key"), "business", "given").agg(F.count("*").alias("n"), F.mode("region").alias("region"), F.mode("legal").alias("legal"), F.min("name_id").alias("unit"))
-    keys = full.groupBy(canon.alias("key")).agg(F.count("*").alias("freq"), F.first("orders").alias("orders"))
+    keys = full.groupBy(canon.alias("key")).agg(F.count("*").alias("freq"), F.array_distinct(F.flatten(F.collect_set("orders"))).alias("orders"))
     near = cut(trie_join(keys.select("key", "orders"), max(12, -(-rows // 1500))))
     totals = units.groupBy("key", "business").agg(F.sum("n").alias("kn"))
     u = cut(units.join(totals, ["key", "business"]))

@@ -70,3 +70,12 @@ def test_parts():
     assert (p["key"], p["given"], p["business"], p["region"], p["legal"]) == ("WIKWIN", "HENRIETTA", "HEALTHCARE", "NORTHAMERICA", "SEC")
     assert parse_name("H.F.L. GLOBAL CORP.")["acronym"] == "HFL"
     assert parse_name("WILLIAM LABS")["key"] == "WILLIAM"
+
+
+def test_long_names(spark):
+    words = "TORDON WIKWIN GENGUKO DASHONI FISZOV BELQUAR".split()
+    rows = [(1, " ".join(words)), (2, " ".join([words[k] for k in (3, 0, 5, 1, 4, 2)])), (3, " ".join([*words[:5], "ZURMATH"])), (4, " ".join(["XTORDON", *words[:0:-1]])), (5, " ".join(words[:5])), (6, " ".join([words[k] for k in (2, 4, 0, 1, 3)]))]
+    keys = {i: min(parse_name(t)["orders"]) for i, t in rows}
+    assert keys[1] == keys[2] != keys[3] and keys[5] == keys[6] and len(set(keys.values())) == 4
+    df = spark.createDataFrame([(k, parse_name(t)["orders"]) for k, t in {keys[i]: t for i, t in rows if i != 2}.items()], "key string, orders array<string>")
+    assert {(r.a, r.b): r.distance for r in trie_join(df, 2).collect()} == {(keys[1], keys[4]): 1, (keys[4], keys[1]): 1}
