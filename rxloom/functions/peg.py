@@ -58,6 +58,7 @@ def closing_quote(s: str, i: int) -> int:
 
 
 def closing_bracket(s: str, i: int) -> int:
+    """Index after the bracket that closes the one at i; -1: it or one within it never closes."""
     stack = []
     for j in range(i, len(s)):
         if s[j] in PAIRS:
@@ -69,6 +70,26 @@ def closing_bracket(s: str, i: int) -> int:
     return -1
 
 
+def closings(s: str) -> dict[int, int]:
+    """For each quote and opening bracket that closes, the index after what closes it; from the end, each position once."""
+    n, out = len(s), {}
+    quote = [-1] * (n + 2)  # after the quote that closes a text that goes on at a position
+    after = {c: [-1] * (n + 1) for c in PAIRS}
+    for j in range(n - 1, -1, -1):
+        c = s[j]
+        if c == '"':
+            if quote[j + 1] > 0:
+                out[j] = quote[j + 1]
+            quote[j] = quote[j + 2] if s[j + 1 : j + 2] == '"' else j + 1
+        else:
+            quote[j] = quote[j + 1]
+            if c in PAIRS and after[c][j + 1] > 0:
+                out[j] = after[c][j + 1]
+        for o, close in PAIRS.items():
+            after[o][j] = j + 1 if c == close else after[o][out[j] if c in PAIRS and j in out else j + 1]
+    return out
+
+
 def skip_blank(s: str, i: int) -> int:
     while i < len(s) and s[i] in BLANK:
         i += 1
@@ -78,11 +99,13 @@ def skip_blank(s: str, i: int) -> int:
 def spans(s: str, delimiter: re.Pattern) -> list[tuple[int, int, str]]:
     """(start, end, flag) of each item of the list."""
     out, start, i, flag = [], 0, 0, ""
-    unclosed: set[str] = set()  # an opener known never to close from here on isn't tried again
+    closing: dict[int, int] | None = None  # made when a quote or bracket first fails
     fresh = True
     while i < len(s):
-        if s[i] == '"' and '"' not in unclosed:
-            end = closing_quote(s, i)
+        if s[i] == '"':
+            end = closing_quote(s, i) if closing is None else closing.get(i, -1)
+            if end < 0 and closing is None:
+                closing = closings(s)
             if end > 0 and fresh:
                 after = skip_blank(s, end)
                 if after < len(s) and not delimiter.match(s, after) and not delimiter.match(s, end):
@@ -90,14 +113,15 @@ def spans(s: str, delimiter: re.Pattern) -> list[tuple[int, int, str]]:
             if end > 0:
                 i, fresh = end, False
                 continue
-            unclosed.add('"')
             flag = "open_quote"
-        elif s[i] in PAIRS and s[i] not in unclosed:
-            end = closing_bracket(s, i)
+        elif s[i] in PAIRS:
+            end = closing_bracket(s, i) if closing is None else closing.get(i, -1)
+            if end < 0 and closing is None:
+                closing = closings(s)
+                end = closing.get(i, -1)
             if end > 0:
                 i, fresh = end, False
                 continue
-            unclosed.add(s[i])
             flag = "open_bracket"
         elif (m := delimiter.match(s, i)) and m.end() > i:
             out.append((start, i, flag))

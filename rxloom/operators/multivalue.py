@@ -1,6 +1,6 @@
 """One row per value of fields that hold several, by the grammar of rxloom.functions.peg.
 
-Fields without any delimiter never leave the JVM. The rest is parsed in Arrow batches where it lies, without a shuffle;
+Fields without any delimiter or heading never leave the JVM. The rest is parsed in Arrow batches where it lies, without a shuffle;
 a bounded cache spares the parse of fields seen before.
 """
 
@@ -18,8 +18,8 @@ from rxloom.functions.peg import LISTED, SUBSTANCES, Grammar, parse
 
 VALUES = "source_table string, row_id long, position_no int, item_value string, flag string"
 GRAMMARS = {"substances": SUBSTANCES, "listed": LISTED}
-#: Without one of these no grammar can split a field.
-MAY_SPLIT = r"(?i)[;,/+|&!\t\n•]|\s(and|with|et)\s"
+#: Without one of these no grammar can split a field; a colon ends a part heading.
+MAY_SPLIT = r"(?i)[:;,/+|&!\t\n•]|\s(and|with|et)\s"
 
 
 def split_values(fields: list[tuple[str, DataFrame, str, str, str]], several_only: bool = True) -> DataFrame:

@@ -39,3 +39,13 @@ def test_rows(spark):
     assert sorted((r.row_id, r.position_no, r.item_value) for r in got) == [(1, 1, "A"), (1, 2, "B"), (4, 1, "A"), (4, 2, "B")]
     assert split_values([("s", df.limit(0), "row_id", "t", "listed")]).count() == 0
     assert split_values([("s", df, "row_id", "t", "listed")], several_only=False).where("row_id = 2").count() == 1
+
+
+def test_a_bracket_closes_after_one_that_does_not(spark):
+    assert parse("A (B, C (D, E), F", SUBSTANCES) == [(1, "A (B", "open_bracket"), (2, "C (D, E)", ""), (3, "F", "")]
+    assert parse("A (B [C, D), E", SUBSTANCES) == [(1, "A (B [C, D)", ""), (2, "E", "")]
+    assert parse("A (B; C (D; E", SUBSTANCES) == [(1, "A (B", "open_bracket"), (2, "C (D", "open_bracket"), (3, "E", "")]
+    deep = "([" * 20_000 + ";" + "(a;b)"
+    assert [v for _, v, _ in parse(deep, SUBSTANCES)][1:] == ["(a;b)"]
+    df = spark.createDataFrame([(1, "Core: lactose. Coating: talc")], "row_id long, t string")
+    assert [r.item_value for r in split_values([("s", df, "row_id", "t", "listed")]).collect()] == ["LACTOSE", "TALC"]
