@@ -49,3 +49,11 @@ def test_labelled_sample(spark, sf):
     docs = table(spark, sf, "documents").join(table(spark, sf, "doc_labels").withColumnRenamed("kind", "label"), "doc_id")
     rows = document_statistics(docs).join(docs.select("doc_id", "label"), "doc_id").select("kind", "label").collect()
     assert sum(r.kind == r.label for r in rows) >= 0.95 * len(rows)
+
+
+def test_distinct_words():
+    at = NAMES.index("distinct_words")
+    for n, error in ((3, 0), (800, 0), (4000, 0), (30_000, 0.05)):
+        text = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(n))
+        got = text_statistics(text)[at]
+        assert abs(got - n) <= error * n and got == text_statistics(text, 700)[at]
