@@ -45,7 +45,7 @@ def strength_observations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return convert_quantities(strength_observations(spark, d)).where("unit_source = 'written' AND amount IS NOT NULL").select("source_table", "row_id", "position_no", "quantity_kind", "amount")
+    return convert_quantities(strength_observations(spark, d)).where("written AND amount IS NOT NULL").select("source_table", "row_id", "position_no", "quantity_kind", "amount")
 
 
 def p3_converted(spark: SparkSession, d: str) -> DataFrame:

@@ -43,8 +43,8 @@ def test_changepoints_are_optimal(values):
 
 def test_long_history_and_empty():
     x = np.repeat([0.0, 3.0, 0.0], 400)
-    assert segment(x) == [0, 400, 800]
-    assert segment(np.array([])) == []
+    assert segment(list(x)) == [0, 400, 800]
+    assert segment([]) == []
 
 
 OBS = "row_id long, history long, at long, strength string, unit string"
@@ -59,26 +59,66 @@ def test_history_gives_missing_units(spark):
     assert convert_quantities(parse_quantities([("t", spark.createDataFrame([], OBS))])).count() == 0
 
 
-def test_hot_history_keeps_all_rows(spark, monkeypatch):
+def told(units, df):
+    return {(r.row_id, r.position_no): (r.unit_source, r.amount, r.segment_no, round(r.level_shift, 6)) for r in units.convert_quantities(units.parse_quantities([("t", df)])).collect()}
+
+
+PLANTED = """id row_id, CASE WHEN id < 4000 THEN 1L WHEN id < 4200 THEN 2L WHEN id < 9000 THEN id DIV 6 END history, id at,
+    CASE WHEN id < 4000 THEN IF(id % 1000 < 500, '500', '0.5') WHEN id < 4200 THEN IF(id < 4150, '20/5', '0.02/0.005') WHEN id % 6 < 3 THEN '300' WHEN id % 6 = 4 THEN '0' ELSE '0.3' END strength,
+    CASE WHEN id % 97 = 3 THEN NULL WHEN id % 89 = 5 AND id < 4000 THEN 'MCG' WHEN id < 4000 THEN IF(id % 1000 < 500, 'MG', 'G') WHEN id < 4200 THEN IF(id < 4150, 'MG', 'G') WHEN id % 6 = 5 THEN NULL WHEN id % 6 < 3 THEN 'MG' ELSE 'G' END unit"""
+
+
+def test_wrong_and_missing_units_follow_from_their_segments(spark):
+    import rxloom.operators.units as units
+
+    spark.range(9003).createOrReplaceTempView("ids")
+    df = spark.sql(f"SELECT {PLANTED} FROM ids")
+    got = told(units, df)
+    assert len(got) == 9003 + 200
+    assert {got[i, 1][1] for i in range(4000)} == {500_000} and {got[i, 1][1] for i in range(4000, 4200)} == {20_000} and {got[i, 2][1] for i in range(4000, 4200)} == {5_000}
+    assert {got[i, 1][1] for i in range(4200, 8996) if i % 6 != 4 and i // 6 != 700} == {300_000}
+    wrong = [i for i in range(4000) if i % 89 == 5]
+    missing = [i for i in range(9000) if i % 97 == 3 and i % 6 != 4]
+    assert all(got[i, 1][0] == "segment" for i in wrong + missing) and got[3999, 1][2:] == (8, round(-3.0, 6)) and got[9001, 1][0] == "written"
+
+
+def test_ranges_and_room_change_nothing(spark, monkeypatch):
     import rxloom.operators.units as units
 
-    monkeypatch.setattr(units, "HOT", 300)
-    monkeypatch.setattr(units, "BLOCK", 64)
-    df = spark.range(2000).selectExpr("id row_id", "1L history", "id at", "'5' strength", "CASE WHEN id % 2 = 0 THEN 'MG' END unit")
-    got = units.convert_quantities(units.parse_quantities([("t", df)]))
-    assert got.count() == 2000
-    assert got.where("amount = 5000").count() >= 1990
+    spark.range(9003).createOrReplaceTempView("ids")
+    df = spark.sql(f"SELECT {PLANTED} FROM ids")
+    want = told(units, df)
+    monkeypatch.setattr(units, "HELD", 150)
+    assert told(units, df) == want
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        assert told(units, df) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_blocks_and_ranges_of_a_history_change_nothing(spark, monkeypatch):
+def test_without_the_search_amounts_are_wrong(spark, monkeypatch):
     import rxloom.operators.units as units
 
-    # a level shift at the border of blocks of 64 and of 4,096, one unit in all the history, and a history that comes before and after it
-    df = spark.range(4900).selectExpr("id row_id", "CASE WHEN id < 4800 THEN 1L WHEN id < 4880 THEN 2L END history", "1L at", "CASE WHEN id < 4096 THEN '0.3' WHEN id % 100 = 7 THEN '40' ELSE '300' END strength", "CASE WHEN id = 100 THEN 'G' WHEN id = 4890 THEN 'MG' END unit")
-    ask = lambda: {r.row_id: (r.unit_source, r.amount, r.segment_no, round(r.level_shift, 6)) for r in units.convert_quantities(units.parse_quantities([("t", df)])).collect()}
-    whole = ask()
-    monkeypatch.setattr(units, "HOT", 100)
-    monkeypatch.setattr(units, "BLOCK", 64)
-    got = ask()
-    assert got == whole and len(got) == 4900
-    assert got[4096] == ("segment", 300_000, 2, 3.0) and got[0][:2] == ("segment", 300_000) and got[4890][0] == "written" and got[4891][0] == "none"
+    rows = [(i, 1, i, "500" if i < 6 else "0.5", "MG" if i < 6 else "G") for i in range(8)]
+    df = spark.createDataFrame(rows, OBS)
+    assert {x[1] for x in told(units, df).values()} == {500_000}
+    monkeypatch.setattr(units, "segment", lambda x, w=None, p=0: [0])
+    found = units.solve(((500.0, 6, ((("mass", 1000.0), 6),)), (0.5, 2, ((("mass", 1e6), 2),))))
+    assert found[1][2] == {"mass": 1000.0}
+
+
+def test_a_change_of_amount_stays(spark):
+    import rxloom.operators.units as units
+
+    rows = [(i, 1, i, "5" if i < 4 else "40", "MG") for i in range(8)]
+    assert {x[1] for x in told(units, spark.createDataFrame(rows, OBS)).values()} == {5000, 40_000}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([0.0, 0.3, 0.31, 3.0]), st.integers(1, 4)), min_size=1, max_size=6))
+def test_runs_are_as_good_as_their_observations(runs):
+    whole = [v for v, w in runs for _ in range(w)]
+    starts = segment([v for v, _ in runs], [w for _, w in runs])
+    at = np.concatenate(([0], np.cumsum([w for _, w in runs])))
+    assert cost(np.array(whole), [int(at[s]) for s in starts]) == pytest.approx(cost(np.array(whole), segment(whole)), abs=1e-9)
