@@ -1,10 +1,11 @@
 """Filling containers of fixed capacity with documents of varying length.
 
-Hierarchical multi-length packing: every document goes to the tier of the smallest context size that holds it; the
-tiers are packed from the longest down, a document of a shorter tier going first into the fullest container of a longer
-one that has room (best fit), and into a container of its own tier otherwise. Containers are then dealt to step groups
-so that the steps carry even loads. A document is split only if it exceeds the capacity: into full containers and a
-remainder, which is packed like a document.
+Hierarchical multi-length packing: every document goes to the tier of the smallest context size that holds it. The tiers
+are packed from the longest down, a document of a shorter tier going first into the gap of a longer tier's container that
+it fills best, and into a container of its own tier otherwise. Then, from the shortest tier up, containers that came out
+with too much unused space are dissolved and their documents packed into the next longer tier, whose containers hold more
+of them and so leave less. Containers are dealt to step groups so that the steps carry even loads. A document is split
+only if it exceeds the largest capacity: into full containers and a remainder, which is packed like a document.
 
 Documents and pieces are spread over shards by hash, each packed by one task; a shard holds about SHARD_ROWS of them, so
 that the space lost to its last open containers is a small part of it, and no task grows with the data.
@@ -20,36 +21,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARD_ROWS, STEP = 20_000, 8
+#: A container of a shorter tier stays if no more than this part of it is unused.
+SLACK = 1 / 128
 PLACED = "pack_name string, capacity_tokens long, container_id string, step_id string, position_no int, doc_id long, piece_no int, start_token long, n_tokens long, unused_tokens long"
 
 
-def best_fit(sizes: np.ndarray, capacities: Sequence[int], mixed: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(container of each item, capacity of each container); sizes in falling order, none above the largest capacity.
+class Containers:
+    """Open containers by their room; the lowest sufficient one is found by a bit mask of the rooms there are."""
 
-    mixed: a new container has the capacity of the item's tier; else always the largest.
-    """
-    caps = sorted(capacities)
-    largest = caps[-1]
-    tier = np.searchsorted(caps, sizes)
-    by_room: list[list[int]] = [[] for _ in range(largest + 1)]
-    mask = 0  # bit r: some container has room r
-    where, opened = np.empty(len(sizes), np.int64), []
-    for i, (size, t) in enumerate(zip(sizes.tolist(), tier.tolist())):
-        fits = mask >> size
+    def __init__(self, largest: int):
+        self.by_room: list[list[int]] = [[] for _ in range(largest + 1)]
+        self.mask = 0
+        self.capacity: list[int] = []
+        self.room: list[int] = []
+        self.items: list[list[int]] = []
+
+    def place(self, item: int, size: int, capacity: int) -> None:
+        """Into the container that it fills best, or a new one of the capacity."""
+        fits = self.mask >> size
         if fits:
             room = size + (fits & -fits).bit_length() - 1
-            stack = by_room[room]
+            stack = self.by_room[room]
             c = stack.pop()
             if not stack:
-                mask &= ~(1 << room)
+                self.mask &= ~(1 << room)
+            self.items[c].append(item)
         else:
-            c, room = len(opened), caps[t] if mixed else largest
-            opened.append(room)
-        where[i] = c
-        left = room - size
-        by_room[left].append(c)
-        mask |= 1 << left
-    return where, np.array(opened, np.int64)
+            c, room = len(self.capacity), capacity
+            self.capacity.append(capacity)
+            self.room.append(0)
+            self.items.append([item])
+        self.show(c, room - size)
+
+    def show(self, c: int, room: int) -> None:
+        self.room[c] = room
+        self.by_room[room].append(c)
+        self.mask |= 1 << room
+
+    def dissolve(self, chosen: list[int]) -> list[int]:
+        """The items of the chosen containers, which are no more."""
+        out = []
+        for c in chosen:
+            out += self.items[c]
+            stack = self.by_room[self.room[c]]
+            stack.remove(c)
+            if not stack:
+                self.mask &= ~(1 << self.room[c])
+            self.items[c] = []
+        return out
+
+
+def pack_tiers(sizes: np.ndarray, capacities: Sequence[int], slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
+    """(container of each item, capacity of each container); sizes in falling order, none above the largest capacity."""
+    caps = sorted(capacities)
+    open_ = Containers(caps[-1])
+    size = sizes.tolist()
+    for i, t in enumerate(np.searchsorted(caps, sizes).tolist()):
+        open_.place(i, size[i], caps[t])
+    for cap, longer in zip(caps, caps[1:]):
+        poor = [c for c, full in enumerate(open_.capacity) if full == cap and open_.items[c] and open_.room[c] > slack * cap]
+        for i in sorted(open_.dissolve(poor[::-1])):
+            open_.place(i, size[i], longer)
+    where, capacity = np.empty(len(size), np.int64), []
+    for c, items in enumerate(open_.items):
+        if items:
+            where[items] = len(capacity)
+            capacity.append(open_.capacity[c])
+    return where, np.array(capacity, np.int64)
 
 
 def even_steps(load: np.ndarray, capacity: np.ndarray, step: int = STEP) -> np.ndarray:
@@ -67,13 +105,12 @@ def even_steps(load: np.ndarray, capacity: np.ndarray, step: int = STEP) -> np.n
     return out
 
 
-def pack_documents(sized: DataFrame, packs: list[tuple[str, int]], mixed: bool = False, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack_documents(sized: DataFrame, packs: list[tuple[str, int]], mixed: bool = True, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Placement of every document (doc_id unique, n_tokens): one row per piece, with the unused space of its container.
 
-    mixed: one packing over containers of all capacities, each document in its tier or in a gap of a longer one.
-    Otherwise one packing per capacity, all documents in containers of it, with the smaller capacities as tiers.
-    Rows without doc_id or size have nothing to place and are left out; a size of 0 takes a position but no space. Extra
-    columns are ignored. sized is read twice, so materialise it before. An empty table gives no rows.
+    mixed: one packing over the tiers of all capacities. Otherwise one packing per capacity, all documents in containers of
+    it alone. Rows without doc_id or size have nothing to place and are left out; a size of 0 takes a position but no space.
+    Extra columns are ignored. sized is read twice, so materialise it before. An empty table gives no rows.
     """
     packs = sorted(packs, key=lambda p: p[1])
     names = {c: n for n, c in packs}
@@ -92,7 +129,7 @@ def pack_documents(sized: DataFrame, packs: list[tuple[str, int]], mixed: bool =
         cap, shard = int(pdf["cap"].iloc[0]), int(pdf["shard"].iloc[0])
         pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", ignore_index=True)
         sizes = pdf["size"].to_numpy()
-        where, capacity = best_fit(sizes, [c for c in caps if c <= cap], mixed)
+        where, capacity = pack_tiers(sizes, caps if mixed else [cap])
         load = np.bincount(where, weights=sizes, minlength=len(capacity)).astype(np.int64)
         step = even_steps(load, capacity)
         by = np.argsort(where, kind="stable")

@@ -33,19 +33,23 @@ def packs(spark: SparkSession, d: str) -> list[tuple[str, int]]:
 
 
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
-    """All documents in containers of each capacity."""
+    """Each document once, in the tiers of all capacities."""
     return pack_documents(sized_documents(spark, d), packs(spark, d))
 
 
-def p8_tiers(spark: SparkSession, d: str) -> DataFrame:
-    """Each document once, over containers of all capacities together."""
-    return pack_documents(sized_documents(spark, d), packs(spark, d), mixed=True)
+def p8_each(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in containers of each capacity alone."""
+    return pack_documents(sized_documents(spark, d), packs(spark, d), mixed=False)
 
 
 def p8_unused(spark: SparkSession, d: str) -> DataFrame:
     return packing_report(p8_packing(spark, d))
 
 
+def p8_each_unused(spark: SparkSession, d: str) -> DataFrame:
+    return packing_report(p8_each(spark, d))
+
+
 def p9_choice(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
     choice = mix_choice(sized_documents(spark, d), targets, table(spark, d, "documents").count())
@@ -97,5 +101,5 @@ def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return repair(table(spark, d, "piqray_pages"), paragraphs=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p5_found, p5_firms, p7_found, p7_matches, p10_found, p10_statistics, p8_packing, p8_tiers, p8_unused, p9_choice, p9_reachable, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p5_found, p5_firms, p7_found, p7_matches, p10_found, p10_statistics, p8_packing, p8_each, p8_unused, p8_each_unused, p9_choice, p9_reachable, p9_shares)}
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 from rxloom.llm.mixing import leaf_budgets, mix_choice, share_report
-from rxloom.llm.packing import best_fit, even_steps, pack_documents, packing_report
+from rxloom.llm.packing import SLACK, even_steps, pack_documents, pack_tiers, packing_report
 from rxloom.llm.tokens import with_token_counts
 
 PACKS = [("s", 16), ("m", 64), ("l", 256)]
@@ -38,15 +38,29 @@ def test_little_space_is_lost(spark):
     assert pack_documents(df.limit(0), PACKS).count() == 0
 
 
-def test_best_fit_and_steps():
-    where, caps = best_fit(np.array([10, 6, 4, 3]), [4, 10], mixed=False)
+def test_tiers_and_steps():
+    where, caps = pack_tiers(np.array([10, 6, 4, 3]), [10])
     assert where.tolist() == [0, 1, 1, 2] and caps.tolist() == [10, 10, 10]
-    where, caps = best_fit(np.array([10, 6, 3]), [4, 10], mixed=True)
-    assert where.tolist() == [0, 1, 1]
+    # the 3 fills the gap of the longer tier; the second 4 has a container of its own tier
+    where, caps = pack_tiers(np.array([10, 7, 4, 3]), [4, 10])
+    assert where.tolist() == [0, 1, 2, 1] and caps.tolist() == [10, 10, 4]
+    # two of 3 leave a quarter of their short containers unused: the longer tier takes them
+    where, caps = pack_tiers(np.array([10, 4, 3, 3]), [4, 10])
+    assert where.tolist() == [0, 1, 2, 2] and caps.tolist() == [10, 4, 10]
     s = even_steps(np.arange(64), np.full(64, 100))
     assert np.ptp([np.arange(64)[s == k].sum() for k in range(8)]) == 0
 
 
+def test_tiers_keep_only_full_short_containers():
+    rng = np.random.default_rng(5)
+    sizes = np.sort(np.minimum(rng.lognormal(4, 1, 6000).astype(np.int64) + 1, 1024))[::-1]
+    where, caps = pack_tiers(sizes, [64, 256, 1024])
+    load = np.bincount(where, weights=sizes)
+    assert (load <= caps).all() and set(caps) == {64, 256, 1024} and ((caps - load)[caps < 1024] <= SLACK * caps[caps < 1024]).all()
+    assert (caps.sum() - load.sum()) / caps.sum() < 0.0017
+    assert len(caps) != len(pack_tiers(sizes, [1024])[1])
+
+
 def test_budgets_redistribute_to_siblings_first():
     targets = [("m", "monograph", 0.5, 1), ("m", "leaflet", 0.2, 5), ("m", "market_note", 0.3, 5)]
     sums = {("monograph", "en"): 100, ("leaflet", "en"): 1000, ("market_note", "en"): 1000}
