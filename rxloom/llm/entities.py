@@ -1,23 +1,27 @@
 """Sales lines and catalogue drugs matched without a common identifier, each match with a confidence.
 
-Lines and drugs are reduced to profiles (brand, firm, strengths, molecules) and distinct ones compared, so that a line
-sold through many channels counts once. Candidate pairs share two or three attributes exactly; no block is a cross of
-all that share a single frequent value. A pair's similarity vector is explained by a mixture of two Gaussians, matched
-and unmatched, fitted without labels by expectation-maximisation, with shrunken and floored covariances (the similarities
-are nearly discrete), over the candidates and as many pairs drawn by hash, which show what candidates can't: pairs without
-anything in common. Transitivity enters each expectation step: a profile has at most one drug, so the odds of its
-candidates compete with each other and with having none. Sufficient statistics are sums over all pairs, aggregated where the
-pairs lie; only 2 x 15 numbers reach the driver in each round.
+Lines and drugs are reduced to profiles (brand, firm, strengths, molecules, form) and distinct ones compared, so that a
+line sold through many channels counts once. Candidate pairs share two or three attributes exactly; no block is a cross of
+all that share a single frequent value. A pair's similarity vector is explained by a mixture of two Gaussians, matched and
+unmatched, fitted without labels by expectation-maximisation over the candidates and as many pairs drawn by hash, which
+show what candidates can't: pairs without anything in common. There is one similarity an attribute, so the covariances
+are diagonal, and floored, since the similarities are nearly discrete; a missing similarity says nothing.
+
+Transitivity: a profile has at most one drug, so in each expectation step the odds of its candidates compete with each
+other and with having none; and two profiles of one drug are the same product, so a pair's posterior is no more than that
+of the profile and the drug's surest profile being one. The posterior alone decides.
+
+Similarities are on a grid, so profiles whose candidates have the same vectors are one weighted row for the fit, however
+many there are; a few dozen sums reach the driver in each round.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -32,8 +36,14 @@ from rxloom.session import cut
 FORMS = "TABLETS?|TABS?|COMPRIMES?|CAPSULES?|CAPS?|GELULES?|INJECTIONS?|INJ|SOLUTIONS?|SOL|SUSPENSIONS?|SUS|CREAMS?|CREME|CRM|GELS?|OINTMENTS?|ONGUENT|ONT|POWDERS?|POUDRE|PWS|ER|XR|SR|ORAL|TOPICAL"
 _UNITS = "MILLIGRAMS?|MICROGRAMS?|GRAMS?|MCG|MGS?|UG|ΜG|µG|GM?|%(?: W/W)?|PERCENT|PCT|(?:THOUSAND |MILLION )?(?:IU|I\\.U\\.|INTERNATIONAL UNITS|UNITS?|U)"
 STRENGTH = rf"(?:[\s/+;-]*\d[\d,.]*\s*(?:{_UNITS})?\.?(?:(?:/|\s*PER\s*|\.)\s*\d*\s*(?:ML|G|L|MG)\b(?:-1)?)?)+"
-FEATURES = ("brand_sim", "firm_sim", "strength_sim", "molecule_sim")
-ROUNDS, SHRINK, FLOOR = 8, 0.1, 0.0025
+FEATURES = ("brand_sim", "firm_sim", "strength_sim", "molecule_sim", "form_sim")
+#: Fits end when no parameter moves more than this, or after so many rounds; variances have a floor.
+MOVED, ROUNDS, FLOOR = 0.002, 50, 0.0025
+#: Log odds are kept within this.
+BOUND = 40.0
+#: Profiles of a block that one salt holds.
+BLOCK_ROWS = 5_000
+FIELDS = ["brand", "whole", "firm", "firm_key", "strengths", "molecules", "form"]
 
 
 def brand_tokens(c: Column) -> Column:
@@ -139,7 +149,12 @@ def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
         keys = F.array_compact(F.array(*[F.when(ok, k) for ok, k in blocks]))
         return d.select(F.col("id").alias(i), F.explode(keys).alias("block"))
 
-    return keyed(a, "a").join(keyed(b, "b"), "block").select("a", "b").distinct()
+    left, right = keyed(a, "a"), keyed(b, "b")
+    # a block that many profiles share is spread over salts; its drugs go to each of them
+    hot = left.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("salts")).where("salts > 1")
+    left = left.join(hot, "block", "left").select("a", "block", F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")), F.lit(0)).cast("int").alias("salt"))
+    right = right.join(hot, "block", "left").select("b", "block", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    return left.join(right, ["block", "salt"]).select("a", "b").distinct()
 
 
 def background(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
@@ -148,111 +163,148 @@ def background(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
     return at(a, "a", 5).join(at(b, "b", 6), "k").select("a", "b")
 
 
-def similarity(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs with their similarity vectors. a, b: id, brand, whole, firm, firm_key, strengths, molecules, form."""
-    side = lambda d, p: d.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("brand", "whole", "firm", "firm_key", "strengths", "molecules", "form")])
-    both = pairs.join(side(a, "a"), "a").join(side(b, "b"), "b")
-    text = lambda x, y: 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
+def similarities(p: str, q: str) -> list[Column]:
+    """Similarity vector of two profiles whose fields have the prefixes p and q, on a grid; null where a side says nothing."""
+    x, y = (lambda c: F.col(f"{p}{c}")), (lambda c: F.col(f"{q}{c}"))
+    text = lambda u, v: 1 - F.levenshtein(u, v) / F.greatest(F.length(u), F.length(v), F.lit(1))
 
-    def brands(x: Column, y: Column) -> Column:
-        cut_off = ((F.length(x) >= 5) & y.startswith(x)) | ((F.length(y) >= 5) & x.startswith(y))
-        return F.when(cut_off & (x != y), F.greatest(F.lit(0.9), text(x, y))).otherwise(text(x, y))
+    def brands(u: Column, v: Column) -> Column:
+        cut_off = ((F.length(u) >= 5) & v.startswith(u)) | ((F.length(v) >= 5) & u.startswith(v))
+        return F.when(u == v, 1.0).when(cut_off, F.greatest(F.lit(0.9), text(u, v))).otherwise(text(u, v))
 
-    def sets(x: Column, y: Column) -> Column:
-        p, q = F.split(x, r"\|"), F.split(y, r"\|")
-        return F.when((x == "") | (y == ""), F.lit(None)).otherwise(F.size(F.array_intersect(p, q)) / F.size(F.array_union(p, q)))
+    def sets(u: Column, v: Column) -> Column:
+        m, n = F.split(u, r"\|"), F.split(v, r"\|")
+        return F.when((u == "") | (v == ""), F.lit(None)).when(u == v, 1.0).otherwise(F.size(F.array_intersect(m, n)) / F.size(F.array_union(m, n)))
 
-    def amounts(x: Column, y: Column) -> Column:
+    def amounts(u: Column, v: Column) -> Column:
         """Of a line and a drug; a drug's unusable strengths may be any: null if the others fit and their number does."""
-        p, q = F.split(x, r"\|"), F.filter(F.split(y, r"\|"), lambda v: ~v.startswith("?"))
-        open_ = F.size(F.split(y, r"\|")) - F.size(q)
-        fits = (F.size(F.array_except(q, p)) == 0) & (F.size(p) == F.size(q) + open_)
-        return F.when(F.contains(y, F.lit("?")), F.when((x != "") & ~fits, 0.0)).otherwise(sets(x, y))
+        m, n = F.split(u, r"\|"), F.filter(F.split(v, r"\|"), lambda z: ~z.startswith("?"))
+        open_ = F.size(F.split(v, r"\|")) - F.size(n)
+        fits = (F.size(F.array_except(n, m)) == 0) & (F.size(m) == F.size(n) + open_)
+        return F.when(F.contains(v, F.lit("?")), F.when((u != "") & ~fits, 0.0)).otherwise(sets(u, v))
+
+    same_firm = (x("firm") == y("firm")) & x("firm").isNotNull()
+    firm = F.when(same_firm, 1.0).when((x("firm_key") != "") & (y("firm_key") != ""), F.lit(0.8) * text(x("firm_key"), y("firm_key")))
+    brand = F.greatest(brands(x("brand"), y("brand")), brands(x("whole"), y("whole")))
+    form = F.when((x("form") != "") & (y("form") != ""), (x("form") == y("form")).cast("double"))
+    values = (brand, firm, amounts(x("strengths"), y("strengths")), sets(x("molecules"), y("molecules")), form)
+    return [F.round(v, 2).alias(f) for v, f in zip(values, FEATURES)]
 
-    known = F.col("a_firm").isNotNull() & F.col("b_firm").isNotNull()
-    return both.select(
-        *pairs.columns, F.greatest(brands(F.col("a_brand"), F.col("b_brand")), brands(F.col("a_whole"), F.col("b_whole"))).alias("brand_sim"),
-        F.when(known & (F.col("a_firm") == F.col("b_firm")), 1.0).when((F.col("a_firm_key") != "") & (F.col("b_firm_key") != ""), F.lit(0.8) * text(F.col("a_firm_key"), F.col("b_firm_key"))).alias("firm_sim"),
-        amounts(F.col("a_strengths"), F.col("b_strengths")).alias("strength_sim"), sets(F.col("a_molecules"), F.col("b_molecules")).alias("molecule_sim"),
-        F.coalesce((F.col("a_form") == F.col("b_form")).cast("int"), F.lit(0)).alias("same_form"), (F.contains("b_strengths", F.lit("?")) & (F.col("a_strengths") != "")).alias("open"), (F.col("a_strengths") == "").alias("bare"),
-    )
+
+def similarity(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs with their similarity vectors. a, b: id and the profile's fields."""
+    side = lambda d, p: d.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in FIELDS])
+    return pairs.join(side(a, "a"), "a").join(side(b, "b"), "b").select(*pairs.columns, *similarities("a_", "b_"))
 
 
 class Mixture:
-    """Two Gaussians with shrunken, floored covariances; the posterior is a column expression."""
-
-    def __init__(self, weight: float, means: np.ndarray, covs: np.ndarray):
-        self.weight, self.means, self.covs = weight, means, covs
-
-    def gap(self, seen: tuple[int, ...]) -> Column:
-        """Log odds by the features seen: the others are integrated out."""
-        out = F.lit(float(np.log(self.weight / (1 - self.weight))))
-        for k, sign in ((1, 1.0), (0, -1.0)):
-            cov = self.covs[k][np.ix_(seen, seen)]
-            inverse = np.linalg.inv(cov)
-            out = out + F.lit(float(-0.5 * sign * np.linalg.slogdet(cov)[1]))
-            d = {i: F.col(FEATURES[i]) - F.lit(float(self.means[k][i])) for i in seen}
-            for x, i in enumerate(seen):
-                for y, j in enumerate(seen[x:], x):
-                    out = out + F.lit(float(-0.5 * sign * inverse[x, y] * (1 if i == j else 2))) * d[i] * d[j]
-        return out
-
-    def posterior(self) -> Column:
-        """Brands are always seen; each of the other features may be missing on one side."""
-        odds = None
-        for missing in range(2 ** (len(FEATURES) - 1)):
-            seen = tuple(i for i in range(len(FEATURES)) if i == 0 or not missing >> (i - 1) & 1)
-            here = reduce(lambda x, y: x & y, [F.col(FEATURES[i]).isNotNull() if i in seen else F.col(FEATURES[i]).isNull() for i in range(1, len(FEATURES))])
-            odds = F.when(here, self.gap(seen)) if odds is None else odds.when(here, self.gap(seen))
-        return 1 / (1 + F.exp(-F.least(F.greatest(odds, F.lit(-30.0)), F.lit(30.0))))
-
-
-def transitive(pairs: DataFrame, p: Column) -> DataFrame:
-    """Posteriors p under the constraint that each a has one b at most: its candidates' odds compete."""
-    odds = F.col("odds") / (1 + F.sum("odds").over(Window.partitionBy("a")))
-    return pairs.withColumn("odds", p / (1 - p)).withColumn("p", odds).drop("odds")
+    """Two Gaussians with diagonal, floored covariances: prior of a match, means and variances of (unmatched, matched)."""
+
+    def __init__(self, weight: float, means: np.ndarray, variances: np.ndarray):
+        self.weight, self.means, self.variances = weight, means, variances
+
+    def parameters(self) -> np.ndarray:
+        return np.concatenate(([self.weight], self.means.ravel(), np.sqrt(self.variances).ravel()))
+
+    def terms(self) -> np.ndarray:
+        """(square, linear, constant) of the log odds of each feature."""
+        (m0, m1), (v0, v1) = self.means, self.variances
+        return np.stack([0.5 / v0 - 0.5 / v1, m1 / v1 - m0 / v0, 0.5 * (m0 * m0 / v0 - m1 * m1 / v1 + np.log(v0 / v1))])
+
+    def prior(self) -> float:
+        return float(np.log(self.weight / (1 - self.weight)))
+
+    def odds_of(self, x: np.ndarray) -> np.ndarray:
+        """Odds of a match by the similarities that are there."""
+        square, linear, constant = self.terms()
+        return np.exp(np.clip(self.prior() + np.nansum((square * x + linear) * x + constant, 1), -BOUND, BOUND))
+
+    def odds(self) -> Column:
+        """The same as a column."""
+        gap = F.lit(self.prior())
+        for f, (square, linear, constant) in zip(FEATURES, self.terms().T.tolist()):
+            gap = gap + F.coalesce((F.lit(square) * F.col(f) + F.lit(linear)) * F.col(f) + F.lit(constant), F.lit(0.0))
+        return F.exp(F.least(F.greatest(gap, F.lit(-BOUND)), F.lit(BOUND)))
+
+
+def signatures(pairs: DataFrame) -> DataFrame:
+    """(vectors, n): the similarity vectors of a profile's candidates with their counts, and how many profiles have the same."""
+    vectors = pairs.groupBy("a", *FEATURES).agg(F.count("*").alias("k"))
+    of_one = vectors.groupBy("a").agg(F.array_sort(F.collect_list(F.struct(*FEATURES, "k"))).alias("vectors"))
+    return of_one.groupBy("vectors").agg(F.count("*").alias("n"))
 
 
 def fit(pairs: DataFrame, rounds: int = ROUNDS) -> Mixture | None:
-    """Expectation-maximisation over all pairs with every feature; None if there are none.
+    """Expectation-maximisation over all pairs (a, similarities); None if there are none.
 
-    It starts from the pairs that agree in most respects.
+    It starts from the pairs that agree in most respects and ends when the parameters stay. Each batch of signatures gives
+    its sums of (posterior, posterior of pairs with the similarity, first and second moments), unmatched and matched.
     """
-    pairs = pairs.where(reduce(lambda x, y: x & y, [F.col(f).isNotNull() for f in FEATURES]))
-    start = (F.col("brand_sim") > 0.75) & (F.col("firm_sim") > 0.75) & (F.col("strength_sim") > 0.75)
-    p = F.when(start, 0.95).otherwise(0.05)
+    seen, d = cut(signatures(pairs)), len(FEATURES)
+
+    def expectation(model: Mixture | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lists = b.column("vectors")
+                length = np.diff(lists.offsets.to_numpy())
+                flat = lists.flatten()
+                x = np.stack([flat.field(f).to_numpy(zero_copy_only=False).astype(float) for f in FEATURES], 1)
+                k, n = flat.field("k").to_numpy(), np.repeat(b.column("n").to_numpy(), length)
+                if not len(k):
+                    continue
+                if model is None:
+                    odds = np.where((x[:, :4] > 0.75).all(1), 19.0, 1 / 19)
+                else:
+                    odds = model.odds_of(x)
+                starts = np.cumsum(length) - length
+                total = 1 + np.add.reduceat(odds * k, starts)
+                p = odds / np.repeat(total, length)
+                there, z = ~np.isnan(x), np.nan_to_num(x)
+                sums = [np.concatenate(([w.sum()], w @ there, w @ z, w @ (z * z))) for w in (n * k * (1 - p), n * k * p)]
+                yield pa.RecordBatch.from_pydict({"sums": [np.concatenate(sums).tolist()]})
+
+        return run
+
     model = None
     for _ in range(rounds):
-        r = transitive(pairs, p if model is None else model.posterior())
-        stats = []
-        for w in (1 - F.col("p"), F.col("p")):
-            stats += [F.sum(w)] + [F.sum(w * F.col(f)) for f in FEATURES] + [F.sum(w * F.col(f) * F.col(g)) for i, f in enumerate(FEATURES) for g in FEATURES[i:]]
-        row = r.agg(*[F.coalesce(s, F.lit(0.0)).alias(f"s{i}") for i, s in enumerate(stats)]).first()
-        n, d = len(stats) // 2, len(FEATURES)
-        means, covs, mass = np.zeros((2, d)), np.zeros((2, d, d)), np.zeros(2)
-        for k in (0, 1):
-            s = np.array(row[k * n : (k + 1) * n], float)
-            mass[k] = s[0]
-            if s[0] < 1e-6:
-                return model
-            means[k] = s[1 : d + 1] / s[0]
-            second = np.zeros((d, d))
-            second[np.triu_indices(d)] = s[d + 1 :] / s[0]
-            second = second + np.triu(second, 1).T
-            c = second - np.outer(means[k], means[k])
-            covs[k] = (1 - SHRINK) * c + SHRINK * np.diag(np.diag(c)) + FLOOR * np.eye(d)
-        model = Mixture(float(np.clip(mass[1] / mass.sum(), 1e-4, 1 - 1e-4)), means, covs)
+        row = np.zeros((2, 1 + 3 * d))
+        for r in seen.mapInArrow(expectation(model), "sums array<double>").toLocalIterator():
+            row += np.array(r.sums).reshape(2, -1)
+        mass, there = row[:, 0], np.maximum(row[:, 1 : d + 1], 1e-9)
+        if mass.min() < 1e-6:
+            return model
+        means = row[:, d + 1 : 2 * d + 1] / there
+        new = Mixture(float(np.clip(mass[1] / mass.sum(), 1e-4, 1 - 1e-4)), means, np.maximum(row[:, 2 * d + 1 :] / there - means * means, 0.0) + FLOOR)
+        if model is not None and np.abs(new.parameters() - model.parameters()).max() < MOVED:
+            return new
+        model = new
     return model
 
 
+def best_drugs(pairs: DataFrame, model: Mixture) -> DataFrame:
+    """(a, b, posterior, similarities) of the likeliest candidate of each profile; its candidates' odds compete."""
+    scored = pairs.withColumn("odds", model.odds())
+    best = F.max_by(F.struct("b", "odds", *FEATURES), F.struct("odds", -F.col("b"))).alias("m")
+    return scored.groupBy("a").agg(F.sum("odds").alias("all"), best).select("a", "m.b", (F.col("m.odds") / (1 + F.col("all"))).alias("posterior"), *[f"m.{f}" for f in FEATURES]).where("posterior >= 0.5")
+
+
+def consistent(best: DataFrame, profiles: DataFrame, model: Mixture) -> DataFrame:
+    """The pairs whose profile may be one with the surest profile of the same drug, with posteriors bounded by that."""
+    mine = profiles.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in FIELDS])
+    rows = best.join(mine, "a")
+    top = rows.groupBy("b").agg(F.max_by(F.struct(F.col("a").alias("top"), F.col("posterior").alias("top_p"), *[F.col(f"a_{c}").alias(f"t_{c}") for c in FIELDS]), F.struct(F.round("posterior", 6), "brand_sim", -F.col("a"))).alias("t"))
+    both = rows.join(top, "b").select("a", "b", "posterior", *FEATURES, *[f"a_{c}" for c in FIELDS], "t.*")
+    alike = both.select("a", "b", "posterior", "top", "top_p", F.struct(*FEATURES).alias("own"), *similarities("a_", "t_"))
+    odds = model.odds()
+    bound = F.when(F.col("a") == F.col("top"), 1.0).otherwise(odds / (1 + odds) / F.col("top_p"))
+    return alike.select("a", "b", F.least("posterior", bound).alias("posterior"), "own.*").where("posterior >= 0.5")
+
+
 def match(sales: DataFrame, catalogue: DataFrame, ingredients: DataFrame, names: DataFrame, name_rows: int) -> DataFrame:
-    """(line_key, drug_code, posterior, brand_sim, firm_sim, strength_sim, molecule_sim): the best drug of each line.
+    """(line_key, drug_code, posterior, brand_sim, firm_sim, strength_sim, molecule_sim, form_sim): the drug of each line.
 
-    A match has the highest posterior of its line, at least 1/2, and passes an exact check: same strengths (a
-    drug's unusable ones may be any, and a line without any takes the only drug of its brand), brands that share most letters (half where all else agrees), firms that don't
-    contradict. Ties go to the drug in the same dosage form, then to
-    the smallest code. Lines or drugs without brand, or without both firm and strength, match nothing. Empty tables give
-    no rows.
+    A match is the likeliest drug of its line with a posterior of at least 1/2. Drugs of equal profiles are one drug, which
+    has the smallest of their codes. Lines or drugs without brand match nothing. Empty tables give no rows.
     """
     firms = link_names(names, name_rows)
     firms = cut(firms)
@@ -265,38 +317,22 @@ def match(sales: DataFrame, catalogue: DataFrame, ingredients: DataFrame, names:
         form = F.upper(F.regexp_extract("product", rf"(?i)(?<![A-Z-])({FORMS})(?![A-Z])", 1))
         with_firm = d.join(named.withColumnRenamed("spelling", "company"), "company", "left").withColumn("tokens", brand_tokens(F.col("product")))
         brand = F.array_join(without_firm(F.col("tokens"), F.col("words")), "").alias("brand")
-        return with_firm.select(*ids, brand, F.array_join("tokens", "").alias("whole"), "firm", F.coalesce(key, F.lit("")).alias("firm_key"), "strengths", "molecules", F.substring(form, 1, 3).alias("form")).where("brand <> ''")
+        return with_firm.select(*ids, brand, F.array_join("tokens", "").alias("whole"), "firm", F.coalesce(key, F.lit("")).alias("firm_key"), "strengths", "molecules", F.coalesce(F.substring(form, 1, 3), F.lit("")).alias("form")).where("brand <> ''")
 
     # read twice: for the distinct profiles and for the lines that have them
     lines = cut(line_profiles(sales).withColumn("text", F.when(F.col("strength").rlike(r"\d"), F.col("strength")).otherwise(F.col("product"))).drop("strength"))
     raw = ["product", "manufacturer", "text", "molecule"]
     distinct = parsed_sets(lines.select(*raw).distinct(), "text", None, "molecule").withColumnRenamed("manufacturer", "company")
-    fields = ["brand", "whole", "firm", "firm_key", "strengths", "molecules", "form"]
-    one_id = F.xxhash64(*[x for f in fields for x in (F.col(f), F.col(f).isNull())])
+    one_id = F.xxhash64(*[x for f in FIELDS for x in (F.col(f), F.col(f).isNull())])
     typed = cut(profile(distinct, [F.xxhash64("product", F.col("company"), "text", "molecule").alias("raw_id")]).withColumn("id", one_id))
-    a = typed.select("id", *fields).dropDuplicates(["id"])
-    drugs = cut(profile(drug_profiles(catalogue, ingredients), ["drug_code"]).withColumn("id", F.col("drug_code").cast("long")))
-    b = drugs.select("id", *fields)
-    drawn = candidates(a, b).withColumn("drawn", F.lit(False)).unionByName(background(a, b, drugs.count()).withColumn("drawn", F.lit(True)))
+    a = cut(typed.select("id", *FIELDS).dropDuplicates(["id"]))
+    b = cut(profile(drug_profiles(catalogue, ingredients), ["drug_code"]).groupBy(*FIELDS).agg(F.min("drug_code").cast("long").alias("id")))
+    drawn = candidates(a, b).withColumn("drawn", F.lit(False)).unionByName(background(a, b, b.count()).withColumn("drawn", F.lit(True)))
     everything = cut(similarity(a, b, drawn))
     model = fit(everything)
     pairs = everything.where("NOT drawn")
     if model is None:
         return pairs.select(F.col("a").alias("line_key"), F.col("b").alias("drug_code"), F.lit(0.0).alias("posterior"), *FEATURES).limit(0)
-    scored = transitive(pairs, model.posterior())
-    firm_fits = (F.col("firm_sim") == 1) | (F.col("firm_sim").isNull() & (F.col("brand_sim") >= F.when(F.col("molecule_sim") == 1, 0.7).otherwise(0.9)))
-    # where firm, strengths and molecules are the same, half of the brand's letters are enough
-    same = F.coalesce((F.col("firm_sim") == 1) & (F.col("molecule_sim") == 1), F.lit(False))
-    alike = same & (F.col("brand_sim") >= 0.75)
-    strong = F.coalesce(F.col("strength_sim") == 1, F.col("open") & alike, F.lit(False)) | (F.col("bare") & alike & (F.col("family") == 1))
-    sure = strong & (F.col("brand_sim") >= F.when(same, 0.5).otherwise(0.7)) & firm_fits
-    best = (
-        scored.withColumn("family", F.sum(alike.cast("int")).over(Window.partitionBy("a")))
-        .where(sure)
-        .withColumn("p_line", F.sum("p").over(Window.partitionBy("a")))
-        .groupBy("a")
-        .agg(F.max_by(F.struct("b", F.col("p_line").alias("posterior"), *FEATURES), F.struct(F.round("p", 6), "same_form", "brand_sim", -F.col("b"))).alias("m"))
-        .where("m.posterior >= 0.5")
-    )
+    best = consistent(cut(best_drugs(pairs, model)), a, model)
     rows = lines.select("line_key", F.xxhash64("product", "manufacturer", "text", "molecule").alias("raw_id")).join(typed.select("raw_id", F.col("id").alias("a")), "raw_id")
-    return rows.join(best, "a").select("line_key", F.col("m.b").alias("drug_code"), *[F.col(f"m.{c}") for c in ("posterior", *FEATURES)])
+    return rows.join(best, "a").select("line_key", F.col("b").alias("drug_code"), "posterior", *FEATURES)

@@ -47,3 +47,74 @@ def test_brand_words(spark):
     cases = {"TAB KOLUFUMEXO 0.3Grams": ["KOLUFUMEXO"], "MUMU® - CAP 2.50MG/125micrograms": ["MUMU"], "LOD-ZEVO 500.0IU INJECTION": ["LOD", "ZEVO"], "5MG TABLETS": ["5MG", "TABLETS"], "A 10MG/ML SOLUTION": ["A"]}
     df = spark.createDataFrame([(k,) for k in cases], "p string")
     assert {r.p: r.w for r in df.select("p", brand_tokens(F.col("p")).alias("w")).collect()} == cases
+
+
+def test_hot_blocks_are_split_without_loss(spark, monkeypatch):
+    import rxloom.llm.entities as entities
+
+    s, c, i, n = tables(spark)
+    want = {(r.line_key, r.drug_code) for r in match(s, c, i, n, 4).collect()}
+    monkeypatch.setattr(entities, "BLOCK_ROWS", 1)
+    assert {(r.line_key, r.drug_code) for r in match(s, c, i, n, 4).collect()} == want
+
+
+def test_a_hand_rule_finds_less(spark, monkeypatch):
+    import rxloom.llm.entities as entities
+
+    s, c, i, n = tables(spark)
+    truth = {(1000 + code, code) for code in range(100, 136)} | {(4, 101), (5, 102)}
+    fitted = {(r.line_key, r.drug_code) for r in match(s, c, i, n, 4).collect()}
+    rule = lambda self: F.when((F.col("brand_sim") >= 0.75) & (F.col("firm_sim") >= 0.75) & (F.col("strength_sim") >= 0.75), 999.0).otherwise(0.001)
+    monkeypatch.setattr(entities.Mixture, "odds", rule)
+    by_rule = {(r.line_key, r.drug_code) for r in match(s, c, i, n, 4).collect()}
+    assert fitted == truth and len(truth & by_rule) < len(truth)
+
+
+PROFILE = "id long, brand string, whole string, firm string, firm_key string, strengths string, molecules string, form string"
+
+
+def model():
+    import numpy as np
+
+    from rxloom.llm.entities import Mixture
+
+    return Mixture(0.3, np.array([[0.55, 0.5, 0.1, 0.5, 0.5], [0.96, 1.0, 1.0, 1.0, 0.8]]), np.array([[0.17, 0.17, 0.05, 0.25, 0.25], [0.01, 0.0025, 0.0025, 0.0025, 0.15]]))
+
+
+def test_profiles_of_a_drug_must_be_one_product(spark):
+    from rxloom.llm.entities import best_drugs, consistent
+
+    brands = ["ZAKATEDEXO", "ZAKATDEXO", "QQWWRRTT"]
+    profiles = spark.createDataFrame([(i, b, b, "1", "ALFA", "mass:5", "M", "TAB") for i, b in enumerate(brands)], PROFILE)
+    pairs = spark.createDataFrame([(0, 7, 1.0, 1.0, 1.0, 1.0, 1.0), (1, 7, 0.9, 1.0, 1.0, 1.0, 1.0), (2, 7, 0.8, 1.0, 1.0, 1.0, 1.0)], "a long, b long, brand_sim double, firm_sim double, strength_sim double, molecule_sim double, form_sim double")
+    best = best_drugs(pairs, model())
+    assert {r.a for r in best.collect()} == {0, 1, 2}
+    assert {r.a for r in consistent(best, profiles, model()).collect()} == {0, 1}
+
+
+def test_candidates_of_a_profile_compete(spark):
+    from rxloom.llm.entities import best_drugs
+
+    sims = "a long, b long, brand_sim double, firm_sim double, strength_sim double, molecule_sim double, form_sim double"
+    tie = spark.createDataFrame([(1, 7, 1.0, 1.0, None, 1.0, None), (1, 8, 1.0, 1.0, None, 1.0, None), (2, 7, 1.0, None, 1.0, 1.0, 1.0), (2, 9, 1.0, None, 1.0, 1.0, 0.0)], sims)
+    got = {r.a: (r.b, r.posterior) for r in best_drugs(tie, model()).collect()}
+    assert set(got) == {2} and got[2][0] == 7 and 0.5 < got[2][1] < 1
+
+
+def test_column_and_batches_agree_and_fit_separates(spark):
+    import numpy as np
+
+    from rxloom.llm.entities import FEATURES, fit
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for a in range(300):
+        rows.append((a, *[float(x) for x in np.round(np.clip([1 - rng.exponential(0.03), 1.0, 1.0, 1.0], 0, 1), 2)], None if a % 3 else 1.0))
+        rows += [(a, round(float(rng.uniform()), 2), float(rng.integers(2)), 0.0, float(rng.integers(2)), float(rng.integers(2))) for _ in range(3)]
+    df = spark.createDataFrame(rows, "a long, " + ", ".join(f"{f} double" for f in FEATURES))
+    m = fit(df)
+    assert 0.2 < m.weight < 0.3 and m.means[1, 0] > 0.9 and m.means[0, 2] < 0.1
+    x = np.array([[np.nan if v is None else v for v in r[1:]] for r in rows], float)
+    col = [r.o for r in df.select(m.odds().alias("o")).collect()]
+    assert np.allclose(np.log(col), np.log(m.odds_of(x)), atol=1e-6)
+    assert fit(df.limit(0)) is None
