@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from rxloom.functions.text import squeeze
 
-#: Legal and structural words that carry no identity of a firm in a comparison of periods.
-CORPORATE_WORDS = "incorporated|inc|limited|limitee|ltee|ltd|llc|llp|ulc|corporation|corp|co|sa|ag|gmbh|plc|sencrl|senc|sec|a division of|division|healthcare|health|consumer|canada"
+#: Pattern of the words that carry no identity of a firm in a comparison of periods; those without \\b leave the rest of a word.
+CORPORATE_WORDS = r"incorporated|inc|limited|limitee|ltee|ltd\b|llc|llp|ulc|corporation|corp|co\b|sa\b|ag\b|gmbh|plc|sencrl|senc|sec\b|a division of|division|healthcare|health|consumer|canada"
+#: What ends a brand: a strength or count, or a dosage form.
+BRAND_TAIL = r"\s+\d[\d.\s]*(?:%|mg|mcg|ug|g\b|ml|iu|miu|units?|cap|capsule|tablet|tab|pak\b|pack).*$"
+BRAND_FORM = r"\s+(?:tablets?|capsules?|caps?|injections?|solution|suspension|cream|ointment|gel|patch|spray|drops?|syrup|elixir|lotion)\s*$"
 #: Salt and pharmacopoeia words that carry no identity of a molecule.
 SALT_WORDS = ["hydrochloride", "hcl", "hydrobromide", "sulfate", "sulphate", "mesylate", "besylate", "maleate", "fumarate", "succinate", "tartrate", "acetate", "sodium", "potassium", "calcium", "magnesium", "dihydrate", "monohydrate", "usp", "bp", "ep"]
 #: Units of a dose at the end of an ingredient.
@@ -45,13 +48,13 @@ def label(key: Column, separator: str = " + ") -> Column:
 def company_identity(c: Column) -> Column:
     """Lower case without accents, punctuation and corporate words."""
     t = F.regexp_replace(F.lower(plain_letters(F.coalesce(c, F.lit("")))), "[.,/&]", " ")
-    return squeeze(F.regexp_replace(t, rf"\b(?:{CORPORATE_WORDS})\b", " "))
+    return squeeze(F.regexp_replace(t, rf"\b(?:{CORPORATE_WORDS})", " "))
 
 
 def brand_identity(c: Column) -> Column:
     """Lower case up to the first strength, without a dosage form at the end."""
-    t = F.regexp_replace(squeeze(F.coalesce(c, F.lit(""))), r"(?i)\s+\d[\d.\s]*(?:%|mg|mcg|ug|g\b|ml|iu|miu|units?|cap|tab|pak).*$", "")
-    return F.lower(F.trim(F.regexp_replace(t, r"(?i)\s+(?:tablets?|capsules?|tab|caps?|injection|solution|cream|suspension)\s*$", "")))
+    t = F.regexp_replace(squeeze(F.coalesce(c, F.lit(""))), f"(?i){BRAND_TAIL}", "")
+    return F.lower(F.trim(F.regexp_replace(t, f"(?i){BRAND_FORM}", "")))
 
 
 def base_form(c: Column) -> Column:
@@ -92,3 +95,64 @@ def real_value(c: Column) -> Column:
     """Neither null nor blank nor a sentinel."""
     t = F.lower(F.trim(c.cast("string")))
     return F.coalesce((t != "") & ~t.isin(SENTINELS), F.lit(False))
+
+
+#: Pattern of the words of a manufacturer that a register leaves out, and of a strength within an ingredient.
+REGISTER_WORDS = r"\b(?:inc|ltd|llc|ulc|corp|corporation|gmbh|limited|canada|pharmaceuticals|pharmaceutical|pharma|laboratories|laboratory|labs|biotechnology|biosciences|therapeutics|sciences|healthcare|health)\b\.?"
+REGISTER_STRENGTH = r"\b\d+(?:\.\d+)?\s*(?:mg/ml|mg/l|mcg/ml|mcg|μg|ug|mmol|meq|mg|ml|iu|g|l)\b"
+
+
+def register_ingredient(c: Column) -> Column:
+    """Lower case, strengths and what is in brackets off."""
+    t = F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), REGISTER_STRENGTH, "")
+    return squeeze(F.regexp_replace(t, r"\(.*?\)", ""))
+
+
+def register_manufacturer(c: Column) -> Column:
+    """Lower case, legal and trade words and punctuation off."""
+    t = F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), REGISTER_WORDS, "")
+    return squeeze(F.regexp_replace(t, "[.,;']", ""))
+
+
+#: Entries that are no product number, in an approval and in a mart.
+NO_NUMBER, NOT_A_DIN = ("N/A", "NA", "NOT APPLICABLE"), ("", "not applicable", "n/a", "na", "none")
+
+
+def approval_din(c: Column) -> Column:
+    """Product number of an approval; null where words say that there is none."""
+    t = F.trim(c)
+    return F.when((t != "") & ~F.upper(t).isin(*NO_NUMBER), t)
+
+
+def excluded_din(c: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(c, F.lit("")))).isin(*NOT_A_DIN)
+
+
+def first_iso_date(c: Column) -> Column:
+    """First year-month-day anywhere in a text; null if it is no date."""
+    return F.try_to_date(F.regexp_extract(c, r"(\d{4}-\d{1,2}-\d{1,2})", 1), "y-M-d")
+
+
+def number_or_zero(c: Column) -> Column:
+    """A metric as a number; null, blank, NaN and anything else is 0."""
+    n = F.trim(c.cast("string")).try_cast("double")
+    return F.when(n.isNull() | F.isnan(n), 0.0).otherwise(n)
+
+
+def whole(c: Column) -> Column:
+    """Rounded to a whole number, halves to the even one."""
+    return F.rint(c).cast("long")
+
+
+def trimmed_strength(c: Column) -> Column:
+    """A strength without the zeros that end its leading number's decimals, and one blank before the unit."""
+    t = F.trim(c)
+    n, unit = F.regexp_extract(t, r"^(\d+(?:\.\d+)?)", 1), F.trim(F.regexp_replace(t, r"^\d+(?:\.\d+)?\s*", ""))
+    plain = F.regexp_replace(F.regexp_replace(n, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(n == "", t).otherwise(F.trim(F.concat_ws(" ", plain, unit)))
+
+
+def named_strength(name: Column, strength: Column, unit: Column) -> Column:
+    """`NAME STRENGTH UNIT` where both are there, else the name."""
+    s, u = F.trim(F.coalesce(strength, F.lit(""))), F.trim(F.coalesce(unit, F.lit("")))
+    return F.when((s != "") & (u != ""), F.concat_ws(" ", name, s, u)).otherwise(name)

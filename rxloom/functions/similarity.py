@@ -5,18 +5,30 @@ from __future__ import annotations
 import re
 import unicodedata
 from difflib import SequenceMatcher, get_close_matches
+from fractions import Fraction
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-#: Words that carry no identity of a company in matching.
-COMPANY_WORDS = "incorporated|inc|limited|limitee|ltee|ltd|llc|llp|ulc|corporation|corp|co|sa|ag|gmbh|plc|sencrl|senc|sec|pharmaceuticals|pharmaceutical|pharma|therapeutics|laboratoires|laboratoire|laboratories|laboratory|labs|lab|healthcare|health|canada|a division of|division|serono|consumer"
-_COMPANY = re.compile(rf"\b(?:{COMPANY_WORDS})\b")
-#: Milligrams in one of a unit that is written in milligrams.
-TO_MG = {"KG": 1e6, "GM": 1e3, "G": 1e3, "MCG": 1e-3, "UG": 1e-3, "M": 1.0}
-_AMOUNT = re.compile(r"^(\d+(?:\.\d+)?)\s*(.*)$")
+from rxloom.functions.quantity import MASS
+
+#: Pattern of the words that carry no identity of a company in matching; those without \\b leave the rest of a word.
+COMPANY_WORDS = (
+    r"incorporated|inc|limited|limitee|ltee|ltd\b|llc|llp|ulc|corporation|corp|co\b|sa\b|ag\b|gmbh|plc|sencrl|senc|sec\b|"
+    r"pharmaceuticals|pharmaceutical|pharma\b|therapeutics|laboratoires|laboratoire|laboratories|laboratory|labs\b|lab\b|healthcare|health|canada|a division of|division|serono|consumer"
+)
+_COMPANY = re.compile(rf"\b(?:{COMPANY_WORDS})")
+#: Words that a label may have besides its molecule and still be generic.
+GENERIC_FILLERS = frozenset(
+    """besylate mesylate maleate sulfate sulphate hydrochloride hcl hydrobromide fumarate succinate tartrate acetate sodium potassium calcium magnesium dihydrate usp bp ep ph eur
+    tablet tablets tab tabs capsule capsules cap caps fc ec xr sr er la cr od mr""".split()
+)
+#: Entries that are no strength; units that a bare number may take from its neighbours.
+NO_STRENGTH, SHARED_UNITS = {"", "NONE", "NAN", "NOT APPLICABLE", "N/A"}, ("%", "IU", "MCG", "MG", "MIU", "ML", "UG")
+PART = re.compile(r"(?P<n>\d+(?:\.\d+)?)?\s*(?P<unit>.*)", re.S)
 
 
 def ratio(a: str, b: str) -> float:
@@ -31,27 +43,31 @@ def company_core(s: str | None) -> str:
     return " ".join(_COMPANY.sub(" ", re.sub("[.,/&]", "", t)).split())
 
 
+def _milligrams(n: Fraction, unit: str) -> tuple[Fraction, str]:
+    """The number in milligrams if the unit is a mass; a lone M is an M of MG."""
+    micrograms = 1000 if unit == "M" else MASS.get(unit)
+    return (n * micrograms / 1000, "MG") if micrograms and unit != "NG" else (n, unit)
+
+
 @lru_cache(50_000)
 def strength_tokens(s: str | None) -> tuple[str, ...]:
-    """Sorted `number unit` tokens: masses in milligrams, mg/g as percent, denominators off, a shared unit spread."""
-    t = (s or "").strip().upper()
-    if t in ("", "NONE", "NAN", "NOT APPLICABLE", "N/A"):
+    """Sorted `number unit` tokens: masses in milligrams, mg in g as percent, a closing denominator off, a shared unit spread."""
+    if (t := (s or "").strip().upper()) in NO_STRENGTH:
         return ()
-    t = re.sub(r"(\d+(?:\.\d+)?)\s*MG/G", lambda m: f"{float(m[1]) / 10:g}%", t)
-    t = re.sub(r"/\s*(?:ML|G|L)\s*$", "", t)
-    out, bare, units = set(), set(), set()
-    for part in filter(None, (p.strip() for p in re.split("[/;]", t))):
-        m = _AMOUNT.match(part)
-        if not m:
-            out.add(part)
-            continue
-        value, unit = float(m[1]), m[2].strip()
-        if unit in TO_MG:
-            value, unit = value * TO_MG[unit], "MG"
-        (out if unit else bare).add(f"{value:g}{unit}")
-        if unit in ("MG", "ML", "IU", "MIU", "%"):
-            units.add(unit)
-    return tuple(sorted(out | {b + (max(units) if units else "") for b in bare}))
+    amounts: list[tuple[Fraction, str]] = []
+    other: set[str] = set()
+    parts = [p.strip() for p in re.split("[/;]", t)]
+    for i, p in enumerate(parts):
+        n, unit = (m := PART.fullmatch(p)) and m["n"], m["unit"].strip()
+        if n is not None:
+            amounts.append((Fraction(n), unit))
+        elif unit == "G" and amounts and amounts[-1][1] == "MG":  # so many milligrams in a gram
+            amounts[-1] = (amounts[-1][0] / 10, "%")
+        elif unit and not (i and i == len(parts) - 1 and unit in ("ML", "G", "L")):
+            other.add(unit)
+    amounts = [_milligrams(n, u) for n, u in amounts]
+    shared = max((u for _, u in amounts if u in SHARED_UNITS), default="")
+    return tuple(sorted(other | {f"{float(n):g}{u or shared}" for n, u in amounts}))
 
 
 def best_options(query: str, options: list[str], most: int = 10) -> list[str]:
@@ -77,21 +93,44 @@ def strength_key_udf(a: pd.Series) -> pd.Series:
     return a.map(lambda s: "|".join(strength_tokens(s)))
 
 
-def _subsequence(short: list[str], long: list[str]) -> bool:
-    it = iter(long)
-    return all(w in it for w in short)
+def _within(short: str, long: str) -> bool:
+    """The characters of one, in order, among those of the other."""
+    at = -1
+    return all((at := long.find(c, at + 1)) >= 0 for c in short)
 
 
 def truncated_brand(a: str, b: str) -> bool:
-    """Same first word, and the words of one in order within the other: a brand cut short."""
-    x, y = a.split(), b.split()
-    return bool(x and y) and x[0] == y[0] and (_subsequence(x, y) or _subsequence(y, x))
+    """Same first word, and the letters and digits of one in order within the other: a brand cut short."""
+    first = [re.search("[a-z]+", x.lower()) for x in (a, b)]
+    x, y = (re.sub("[^a-z0-9]", "", x.lower()) for x in (a, b))
+    return all(first) and first[0][0] == first[1][0] and (_within(x, y) or _within(y, x))
+
+
+def containment(needle: str | None, text: str | None, least: float = 0.9) -> float:
+    """1 if the text holds the needle, in any letter case; else the likeness of the first window that is nearly it, or 0.
+
+    Windows start at each of the first places, a quarter of the needle, and then at every such step. Needles of less than
+    three characters are in nothing.
+    """
+    n, t = (needle or "").strip().lower(), (text or "").lower()
+    if len(n) < 3:
+        return 0.0
+    if n in t:
+        return 1.0
+    last, step = len(t) - len(n), max(1, len(n) // 4)
+    match = SequenceMatcher(None, "", "")
+    match.set_seq1(n)
+    for i in chain(range(min(step, last + 1)), range(step, last + 1, step)) if last > 0 else ():
+        match.set_seq2(t[i : i + len(n)])
+        if match.real_quick_ratio() >= least and match.quick_ratio() >= least and (r := match.ratio()) >= least:
+            return r
+    return 0.0
 
 
 def fuzzy_contains(needle: str, text: str, least: float = 0.9) -> bool:
-    """The text holds the needle, or a window of its length that is nearly it; windows start every quarter of it."""
-    n = len(needle)
-    if not n or needle in text:
-        return bool(n)
-    step = max(1, n // 4)
-    return any(SequenceMatcher(None, needle, text[i : i + n]).ratio() >= least for i in range(0, max(1, len(text) - n + 1), step))
+    return containment(needle, text, least) > 0
+
+
+@F.pandas_udf(DoubleType())
+def containment_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([containment(x, y) for x, y in zip(a, b)])

@@ -1,6 +1,6 @@
 """Audit of matches between sales groups and products, made without trusting the matcher that produced them.
 
-For every pair the brand is weighed anew, and rivals with the same strengths and molecules are looked for on either side:
+For every pair the brand is weighed anew, and rivals with the same strengths are looked for on either side:
 a product of the group's company whose brand fits the group better, a group of the product's company whose brand fits
 the product better. Groups and products are co-grouped like in the matcher, so that all rivals of a pair are at hand.
 """
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rxloom.functions.names import brand_identity
-from rxloom.functions.similarity import company_core, ratio, strength_key_udf, truncated_brand
-from rxloom.operators.matcher import LEAST_COMPANY, MARGIN, generic_brand, molecule_key
+from rxloom.functions.similarity import GENERIC_FILLERS, company_core, ratio, strength_key_udf, truncated_brand
+from rxloom.operators.matcher import LEAST_COMPANY, MARGIN, PRODUCT_SEPARATORS, SOLD_SEPARATORS, generic_brand, with_keys
 
 #: A brand below the floor was matched on the company; a rival must be this good itself.
 BRAND_FLOOR, RIVAL_LEAST, EXACT = 72.0, 60.0, 100.0
@@ -46,7 +46,7 @@ def audit_pair(g: dict, p: dict, groups: list[dict], products: list[dict]) -> tu
         rival.append(b[1])
         score += b[0] - brand
     # a weak brand alone is no evidence where the company has no other product and the label is general or cut short
-    forced = flags == ["company_carried"] and len(akin) == 1 and (generic_brand(g["brand"], g["molecule"]) or truncated_brand(g["brand"], p["brand"]))
+    forced = flags == ["company_carried"] and len(akin) == 1 and (generic_brand(g["brand"], g["molecule"], GENERIC_FILLERS) or truncated_brand(g["brand"], p["brand"]))
     return p["din"], g["product"], g["manufacturer"], round(brand, 1), round(company, 1), ",".join(flags), ",".join(rival), round(score, 1), "low" if forced else "high" if flags else "none"
 
 
@@ -54,20 +54,19 @@ def audit_matches(matched: DataFrame, sold: DataFrame, products: DataFrame) -> D
     """One row per matched pair with similarities, flags, rivals, suspicion and tier.
 
     matched: combined_molecule, product, manufacturer, strength, din of matched groups; sold and products as for the
-    matcher. Pairs whose strengths or molecules differ have no common rivals and are left out. Empty tables give no rows.
+    matcher. Pairs whose strengths differ have no common rivals and are left out. Empty tables give no rows.
     """
     keys = ["combined_molecule", "product", "manufacturer", "strength"]
-    side = lambda d, s, m, sep: d.withColumn("skey", strength_key_udf(s)).withColumn("mkey", molecule_key(F.col(m), sep))
-    g = side(sold.select(*keys).distinct(), "strength", "combined_molecule", "[:/;+,|&!]| WITH ").withColumn("brand", brand_identity(F.col("product")))
+    g = with_keys(sold.select(*keys).distinct(), "strength", "combined_molecule", SOLD_SEPARATORS).withColumn("brand", brand_identity(F.col("product")))
     pairs = matched.where("din <> ''").select(*[F.col(k).alias(f"m_{k}") for k in keys], "din")
     g = g.join(pairs, [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys], "left").drop(*[f"m_{k}" for k in keys])
-    p = side(products, "strength", "ingredient", ";").withColumn("brand", brand_identity(F.col("brand_name")))
-    bucket = F.pmod(F.xxhash64("skey", "mkey"), F.lit(8 * int(sold.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("bucket")
+    p = with_keys(products, "strength", "ingredient", PRODUCT_SEPARATORS).withColumn("brand", brand_identity(F.col("brand_name")))
+    bucket = F.pmod(F.xxhash64("skey"), F.lit(8 * int(sold.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("bucket")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        by = dict(iter(right.fillna("").groupby(["skey", "mkey"], sort=False)))
-        for k, part in left.fillna("").groupby(["skey", "mkey"], sort=False):
+        by = dict(iter(right.fillna("").groupby("skey", sort=False)))
+        for k, part in left.fillna("").groupby("skey", sort=False):
             if k not in by or not (part["din"] != "").any():
                 continue
             groups = [{"product": r.product, "manufacturer": r.manufacturer, "brand": r.brand, "company": company_core(r.manufacturer), "molecule": r.combined_molecule, "din": r.din} for r in part.itertuples()]
@@ -76,7 +75,7 @@ def audit_matches(matched: DataFrame, sold: DataFrame, products: DataFrame) -> D
             out += [audit_pair(x, of[x["din"]], groups, options) for x in groups if x["din"] in of]
         return pd.DataFrame(out, columns=[f.split()[0] for f in AUDIT.split(", ")])
 
-    left, right = g.select(bucket, "skey", "mkey", "din", "brand", *keys), p.select(bucket, "skey", "mkey", "din", "brand", "company")
+    left, right = g.select(bucket, "skey", "din", "brand", *keys), p.select(bucket, "skey", "din", "brand", "company")
     return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(run, AUDIT)
 
 
@@ -89,3 +88,39 @@ def decompose(total: tuple[int, ...], parts: list[tuple[int, ...]], most: int =
             if (i := last.get(rest)) is not None and i > c[-1]:
                 return (*c, i)
     return None
+
+
+VALUES = "din string, product string, manufacturer string, kind string, groups int"
+
+
+def audit_values(stamped: DataFrame, sold: DataFrame, metrics: list[str]) -> DataFrame:
+    """Which sales group, or sum of groups, the metrics of each product are: kind is `group`, `sum` or `orphan`.
+
+    stamped: din, brand_name, company, strength and the metrics; sold: combined_molecule, product, manufacturer, strength,
+    unique together, and the metrics, as whole numbers. A group has all of the product's values; of several the one with
+    the likest brand is meant. Else the fewest groups of the product's strengths and company, two or three, that add up to
+    them, named by the likest brand. Products without metrics are left out. Empty tables give no rows.
+    """
+    keys = ["combined_molecule", "product", "manufacturer", "strength"]
+    whole = [F.coalesce(F.col(m), F.lit(0)).cast("long").alias(m) for m in metrics]
+    g = sold.select(*keys, *whole).withColumn("skey", strength_key_udf("strength")).withColumn("brand", brand_identity(F.col("product"))).fillna("", keys)
+    p = stamped.where(F.coalesce(*metrics).isNotNull()).select("din", "company", *whole, strength_key_udf("strength").alias("skey"), brand_identity(F.col("brand_name")).alias("brand")).fillna("", ["company"])
+    bucket = F.pmod(F.xxhash64("skey"), F.lit(8 * int(sold.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("bucket")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out, by = [], dict(iter(left.groupby("skey", sort=False)))
+        for k, part in right.groupby("skey", sort=False):
+            groups = sorted(by[k].to_dict("records"), key=lambda r: [r[c] for c in keys]) if k in by else []
+            values = [tuple(r[m] for m in metrics) for r in groups]
+            for r in part.to_dict("records"):
+                own = tuple(r[m] for m in metrics)
+                found, kind = [x for x, v in zip(groups, values) if v == own], "group"
+                if not found:
+                    akin = [i for i, x in enumerate(groups) if ratio(company_core(r["company"]), company_core(x["manufacturer"])) >= LEAST_COMPANY]
+                    places = decompose(own, [values[i] for i in akin])
+                    found, kind = [groups[akin[i]] for i in places or ()], "sum" if places else "orphan"
+                best = max(found, key=lambda x: ratio(r["brand"], x["brand"]), default={"product": None, "manufacturer": None})
+                out.append((r["din"], best["product"], best["manufacturer"], kind, 1 if kind == "group" else len(found)))
+        return pd.DataFrame(out, columns=["din", "product", "manufacturer", "kind", "groups"])
+
+    return g.select(bucket, "*").groupBy("bucket").cogroup(p.select(bucket, "*").groupBy("bucket")).applyInPandas(run, VALUES)

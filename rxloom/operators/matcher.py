@@ -1,8 +1,9 @@
 """Sales groups matched one to one to catalogue products: a reservation of exact brands, then a fuzzy pass.
 
-A group and a product can only meet with the same strengths and the same molecules, so both sides are co-grouped on
-these and each co-group is matched by one task, in the global order of the groups. Within it the order matters: what an
-earlier group takes a later one can't have.
+A group and a product can only meet with the same strengths, as many molecules, and each molecule of the group sharing a
+word with the product's. Both sides are co-grouped on strengths and number of molecules, and an index of words gives each
+group its candidates; within a co-group the global order of the groups matters: what an earlier one takes a later one
+can't have. A co-group holds distinct groups and products of one strength, not sales rows.
 """
 
 from __future__ import annotations
@@ -22,20 +23,44 @@ NEVER_SOLD = {"approved", "cancelled pre market"}
 RESULT = "group_id long, status string, din string, top_score double, second_score double"
 
 
-def molecule_key(c: Column, separators: str) -> Column:
-    """Sorted first words of at least four letters of the components."""
-    first = F.transform(F.split(F.upper(F.coalesce(c, F.lit(""))), separators), lambda p: F.regexp_extract(p, "([A-Z]{4,})", 1))
-    return F.array_join(F.array_sort(F.filter(first, lambda w: w != "")), "|")
+def component_words(c: Column, separators: str) -> Column:
+    """Words of at least four letters of each component; a component may have none."""
+    parts = F.filter(F.split(F.upper(F.coalesce(c, F.lit(""))), separators), lambda p: F.trim(p) != "")
+    return F.transform(parts, lambda p: F.array_distinct(F.regexp_extract_all(p, F.lit("([A-Z]{4,})"), 1)))
 
 
-def generic_brand(brand: str, molecule: str) -> bool:
-    """The brand says nothing but the molecule."""
+#: What separates the molecules of a sales group, and the ingredients of a product.
+SOLD_SEPARATORS, PRODUCT_SEPARATORS = "[:/;+,|&!]| WITH ", ";"
+
+
+class Candidates:
+    """Products of one strength and number of molecules, found by the words of a group's molecules."""
+
+    def __init__(self, words: list[list[list[str]]]):
+        self.every = frozenset(range(len(words)))
+        self.by_word: dict[str, set[int]] = {}
+        for i, parts in enumerate(words):
+            for w in {w for p in parts for w in p}:
+                self.by_word.setdefault(w, set()).add(i)
+
+    def of(self, parts: list[list[str]]) -> list[int]:
+        left = self.every
+        for p in parts:
+            if len(p):
+                left = left & set().union(*(self.by_word.get(w, ()) for w in p))
+        return sorted(left)
+
+
+def generic_brand(brand: str, molecule: str, fillers: frozenset[str] = frozenset()) -> bool:
+    """The brand says nothing but the molecule, or the fillers."""
     words = set(re.findall("[a-z]+", brand.lower()))
-    return bool(words) and words <= set(re.findall("[a-z]+", (molecule or "").lower()))
+    return bool(words) and words <= set(re.findall("[a-z]+", (molecule or "").lower())) | fillers
 
 
 def match_groups(groups: list[dict], products: list[dict]) -> list[tuple]:
-    """Results of groups in order. groups: id, brand, company, molecule; products: din, brand, company, status."""
+    """Results of groups in order. groups: id, brand, company, molecule, and base (places of its candidates, all by default);
+    products: din, brand, company, status."""
+    everyone = range(len(products))
     score = {}
 
     def company(g: dict, p: dict) -> float:
@@ -56,7 +81,7 @@ def match_groups(groups: list[dict], products: list[dict]) -> list[tuple]:
     reserved: dict[int, str] = {}
     taken: set[str] = set()
     for g in groups:
-        free = on_market([p for p in products if p["din"] not in taken])
+        free = on_market([p for i in g.get("base", everyone) if (p := products[i])["din"] not in taken])
         exact = [p for p in free if p["brand"] == g["brand"] and g["brand"] and company(g, p) >= LEAST_COMPANY]
         if len(exact) != 1:
             continue
@@ -71,12 +96,13 @@ def match_groups(groups: list[dict], products: list[dict]) -> list[tuple]:
         if g["id"] in reserved:
             out.append((g["id"], "matched", reserved[g["id"]], both(g, by_din[reserved[g["id"]]]), 0.0))
             continue
-        free = on_market([p for p in products if p["din"] not in taken])
+        free = on_market([p for i in g.get("base", everyone) if (p := products[i])["din"] not in taken])
         scored = sorted(((both(g, p), -i, p["din"]) for i, p in enumerate(free) if company(g, p) >= LEAST_COMPANY), reverse=True)
         kept = [x for x in scored if x[0] >= LEAST]
         top, second = (scored[0][0] if scored else 0.0), (scored[1][0] if len(scored) > 1 else 0.0)
         if not kept:
-            fit = sorted(((company(g, by_din[d]), d) for d in set(first_pass.values()) if company(g, by_din[d]) >= ALIAS_COMPANY), reverse=True)
+            base = {products[i]["din"] for i in g.get("base", everyone)}
+            fit = sorted(((company(g, by_din[d]), d) for d in base & set(first_pass.values()) if company(g, by_din[d]) >= ALIAS_COMPANY), reverse=True)
             if generic_brand(g["brand"], g["molecule"]) and fit and (len(fit) == 1 or fit[0][0] > fit[1][0]):
                 out.append((g["id"], "matched", fit[0][1], top, second))
             else:
@@ -91,6 +117,11 @@ def match_groups(groups: list[dict], products: list[dict]) -> list[tuple]:
     return out
 
 
+def with_keys(d: DataFrame, strength: str, molecule: str, separators: str) -> DataFrame:
+    """Adds skey (strengths), words (of each molecule) and parts (number of molecules)."""
+    return d.withColumn("skey", strength_key_udf(strength)).withColumn("words", component_words(F.col(molecule), separators)).withColumn("parts", F.size("words"))
+
+
 def match_sales(sold: DataFrame, products: DataFrame) -> DataFrame:
     """One row per sales group with its status and product, and one per product that no group has.
 
@@ -100,28 +131,29 @@ def match_sales(sold: DataFrame, products: DataFrame) -> DataFrame:
     """
     keys = ["combined_molecule", "product", "manufacturer", "strength"]
     g = sold.select(*keys).withColumn("group_id", F.xxhash64(*[F.coalesce(F.col(k), F.lit("")) for k in keys]))
-    g = g.withColumn("skey", strength_key_udf("strength")).withColumn("mkey", molecule_key(F.col("combined_molecule"), "[:/;+,|&!]| WITH ")).withColumn("brand", brand_identity(F.col("product")))
+    g = with_keys(g, "strength", "combined_molecule", SOLD_SEPARATORS).withColumn("brand", brand_identity(F.col("product")))
     p = products.where("din IS NOT NULL").withColumn("status", F.lower(F.trim(F.coalesce("status", F.lit("")))))
     p = p.where(~F.col("status").isin(*NEVER_SOLD)).withColumn("n", F.row_number().over(Window.partitionBy("din").orderBy("brand_name"))).where("n = 1")
-    p = p.withColumn("skey", strength_key_udf("strength")).withColumn("mkey", molecule_key(F.col("ingredient"), ";")).withColumn("brand", brand_identity(F.col("brand_name")))
-    usable = (F.col("skey") != "") & (F.col("mkey") != "")
+    p = with_keys(p, "strength", "ingredient", PRODUCT_SEPARATORS).withColumn("brand", brand_identity(F.col("brand_name")))
+    usable = (F.col("skey") != "") & (F.size("words") > 0)
 
     def one(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple]:
-        groups = [{"id": r.group_id, "brand": r.brand, "company": company_core(r.manufacturer), "molecule": r.combined_molecule} for r in left.itertuples()]
+        find = Candidates([list(w) for w in right["words"]])
+        groups = [{"id": r.group_id, "brand": r.brand, "company": company_core(r.manufacturer), "molecule": r.combined_molecule, "base": find.of(r.words)} for r in left.itertuples()]
         options = [{"din": r.din, "brand": r.brand, "company": company_core(r.company), "status": r.status} for r in right.itertuples()]
         return match_groups(groups, options)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.fillna("").sort_values(keys), right.fillna("").sort_values("din")
-        by, out, none = dict(iter(right.groupby(["skey", "mkey"], sort=False))), [], right.iloc[:0]
-        for k, part in left.groupby(["skey", "mkey"], sort=False):
+        by, out, none = dict(iter(right.groupby(["skey", "parts"], sort=False))), [], right.iloc[:0]
+        for k, part in left.groupby(["skey", "parts"], sort=False):
             out += one(part, by.get(k, none))
         return pd.DataFrame(out, columns=["group_id", "status", "din", "top_score", "second_score"]).round({"top_score": 1, "second_score": 1})
 
     # many small groups share a task; the number of tasks follows the session's partitions
-    bucket = F.pmod(F.xxhash64("skey", "mkey"), F.lit(8 * int(sold.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("bucket")
-    left = g.where(usable).select(bucket, "skey", "mkey", "group_id", "brand", *keys)
-    right = p.where(usable).select(bucket, "skey", "mkey", "din", "brand", "company", "status")
+    bucket = F.pmod(F.xxhash64("skey", "parts"), F.lit(8 * int(sold.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("bucket")
+    left = g.where(usable).select(bucket, "skey", "parts", "words", "group_id", "brand", *keys)
+    right = p.where(usable).select(bucket, "skey", "parts", "words", "din", "brand", "company", "status")
     matched = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(run, RESULT)
     groups = g.select("group_id", *keys).join(matched, "group_id", "left").na.fill({"status": "no_match", "din": "", "top_score": 0.0, "second_score": 0.0})
     unsold = p.select("din").join(groups.where("status = 'matched'").select("din").distinct(), "din", "left_anti").select("din", F.lit("not_sold").alias("status"))

@@ -17,8 +17,14 @@ from pyspark.sql import functions as F
 from rxloom.functions.arrow import Memo
 
 #: Container words in the order in which they are looked for.
-CONTAINERS = ["prefilled syringe", "prefilled pen", "blister pack", "unit dose carton", "ampoule", "cartridge", "dropper", "inhaler", "sachet", "pouch", "syringe", "blister", "bottle", "carton", "vial", "tube", "jar", "bag", "pen"]
-WITHIN = {"blister pack": ["blister"], "prefilled syringe": ["syringe"], "prefilled pen": ["pen"], "unit dose carton": ["carton"]}
+CONTAINERS = [
+    "prefilled syringe", "auto-injector", "stick pack", "blister pack", "ampoule", "vial", "syringe", "cartridge", "blister", "bottle", "jar", "tube", "sachet", "pouch", "carton", "bag", "canister", "inhaler", "dropper",
+    "suppository", "pen", "kit",
+]
+#: Other spellings of containers, as patterns.
+SPELT = {"prefilled syringe": "pre-?filled syringe", "auto-injector": "auto[- ]?injector", "ampoule": "ampoule|ampule|ampul", "suppository": "suppositorie|suppository"}
+#: A container is hidden by one whose name has its own among its words.
+WITHIN = {o: [c for c in CONTAINERS if c in o.split()] for o in CONTAINERS if " " in o}
 COLORS = "white to cream|off-white|greenish blue|brick red|light pink|light red|pale red|pale yellow|white|yellow|pink|red|blue|green|orange|brown|beige|purple"
 SHAPES = "capsule-shaped|round|oval|ovaloid|biconvex|hexagonal|oblong|rectangular|triangular"
 FIELDS = "doc_id long, pack_style string, pack_count string, color string, shape string, size_mm string, ph string, leader_share double"
@@ -35,7 +41,7 @@ def container_labels(text: str) -> list[str]:
     """Containers named in a text, longer names before the shorter ones that they hold."""
     low, out = text.lower(), []
     for c in CONTAINERS:
-        if re.search(rf"\b{c}(?:s|es)?\b", low) and not any(c in WITHIN.get(o, []) for o in out):
+        if re.search(rf"\b(?:{SPELT.get(c, c)})s?\b", low) and not any(c in WITHIN.get(o, []) for o in out):
             out.append(c)
     return [c.title() for c in out]
 
@@ -59,20 +65,17 @@ def _slashed(t: str) -> str | None:
 
 
 def _contained(t: str) -> str | None:
-    """Counts with the container they stand before or after; the container is named if there are several."""
-    found: list[tuple[int, str]] = []
+    """Counts with the container they stand before or after, in the order of containers; the container is named if there are several."""
+    found: dict[str, str] = {}
     for c in CONTAINERS:
-        if any(c in WITHIN.get(o, []) for _, o in found):
+        if any(c in WITHIN.get(o, []) for o in found):
             continue
-        word = rf"{c.upper()}(?:S|ES)?"
-        m = re.search(rf"\b(\d+)\s+{_DOSES}\s+{word}\b", t) or re.search(rf"\b{word}\s+OF\s+(\d+)\b", t)
-        if m:
-            found.append((m.start(), c + "=" + m[1]))
-    found.sort()
-    pairs = [x.split("=") for _, x in found]
-    if len(pairs) == 1:
-        return f"{pairs[0][1]} count"
-    return "; ".join(f"{n}-count {c}" for c, n in pairs) or None
+        word = rf"(?:{SPELT.get(c, c).upper()})S?"
+        if m := re.search(rf"\b(\d+)\s+{_DOSES}\s+{word}\b", t) or re.search(rf"\b{word}\s+OF\s+(\d+)\b", t):
+            found[c] = m[1]
+    if len(found) == 1:
+        return f"{next(iter(found.values()))} count"
+    return "; ".join(f"{n}-count {c}" for c, n in found.items()) or None
 
 
 def _counts(t: str) -> str | None:
