@@ -88,7 +88,7 @@ def yes_flag(c: Column) -> Column:
 
 
 #: Entries that stand for a missing value, apart from blanks.
-SENTINELS = ["not in dpd", "not in pm", "no pm available", "no noc record", "needs ocr / manual check", "n/a", "n/a (uncoated)", "not applicable", "none", "nan"]
+SENTINELS = ["not in dpd", "not in pm", "no pm available", "no noc record", "needs ocr / manual check", "n/a", "na", "n/a (uncoated)", "not applicable", "none", "nan"]
 
 
 def real_value(c: Column) -> Column:
