@@ -80,8 +80,8 @@ def ingredient_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT row_id, trim(regexp_replace(regexp_replace(regexp_replace(translate(lower(company_name), '{N.ACCENTED}', '{N.PLAIN}'), '[.,/&]', ' ', 'g'), '\\b(?:{N.CORPORATE_WORDS})\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS company,
- lower(trim(regexp_replace(regexp_replace(trim(regexp_replace(brand_name, '\\s+', ' ', 'g')), '(?i)\\s+\\d[\\d.\\s]*(?:%|mg|mcg|ug|g\\b|ml|iu|miu|units?|cap|tab|pak).*$', ''), '(?i)\\s+(?:tablets?|capsules?|tab|caps?|injection|solution|cream|suspension)\\s*$', ''))) AS brand
+    f"""SELECT row_id, trim(regexp_replace(regexp_replace(regexp_replace(translate(lower(company_name), '{N.ACCENTED}', '{N.PLAIN}'), '[.,/&]', ' ', 'g'), '\\b(?:incorporated|inc|limited|limitee|ltee|ltd\\b|llc|llp|ulc|corporation|corp|co\\b|sa\\b|ag\\b|gmbh|plc|sencrl|senc|sec\\b|a division of|division|healthcare|health|consumer|canada)', ' ', 'g'), '\\s+', ' ', 'g')) AS company,
+ lower(trim(regexp_replace(regexp_replace(trim(regexp_replace(brand_name, '\\s+', ' ', 'g')), '(?i)\\s+\\d[\\d.\\s]*(?:%|mg|mcg|ug|g\\b|ml|iu|miu|units?|cap|capsule|tablet|tab|pak\\b|pack).*$', ''), '(?i)\\s+(?:tablets?|capsules?|caps?|injections?|solution|suspension|cream|ointment|gel|patch|spray|drops?|syrup|elixir|lotion)\\s*$', ''))) AS brand
  FROM drugproduct WHERE company_name IS NOT NULL AND brand_name IS NOT NULL"""
 )
 def identities(spark: SparkSession, d: str) -> DataFrame:
@@ -133,30 +133,51 @@ def dosage_form_map(spark: SparkSession, d: str) -> DataFrame:
 # --- scans and searches -----------------------------------------------------------------------------------------------
 
 
-@query("""WITH c AS (SELECT DISTINCT drug_code FROM activeingredient WHERE contains(lower(ingredient_name), 'bafi') UNION SELECT DISTINCT drug_code FROM drugproduct WHERE contains(lower(brand_name), 'zov-')),
+_TERMS = "t AS (SELECT (SELECT lower(substr(max(ingredient_name), 1, 4)) FROM activeingredient) AS a, (SELECT lower(substr(max(brand_name), 1, 4)) FROM drugproduct) AS b, (SELECT upper(substr(max(noc_pi_medic_ingr_name), 1, 5)) FROM api_medicinalingredient) AS n)"
+
+
+def _term(t: DataFrame, c: str, n: int) -> str:
+    """First letters of the last name there is, for a search of any data."""
+    return (t.agg(F.max(c)).first()[0] or "")[:n]
+
+
+def search_catalogue(ingredients: DataFrame, products: DataFrame, terms: list[str], brands: list[str] = (), companies: list[str] = (), most: int = 150) -> DataFrame:
+    """Records of the codes that any term fits, sorted by code and capped, with the number of codes before the cap."""
+    hit = lambda t, c, some: [t.where(F.contains(F.lower(c), F.lit(x.lower()))).select("drug_code") for x in some]
+    found = [*hit(ingredients, "ingredient_name", terms), *hit(products, "brand_name", brands), *hit(products, "company_name", companies)]
+    codes = found[0]
+    for f in found[1:]:
+        codes = codes.union(f)
+    codes = codes.distinct()
+    total = F.lit(codes.count()).cast("long").alias("total_matches")
+    return products.join(F.broadcast(codes.orderBy("drug_code").limit(most)), "drug_code", "left_semi").select("drug_code", "row_id", "brand_name", total)
+
+
+@query(f"""WITH {_TERMS}, c AS (SELECT DISTINCT drug_code FROM activeingredient, t WHERE contains(lower(ingredient_name), a) UNION SELECT DISTINCT drug_code FROM drugproduct, t WHERE contains(lower(brand_name), b)),
  k AS (SELECT drug_code FROM c ORDER BY drug_code LIMIT 150) SELECT p.drug_code, p.row_id, p.brand_name, (SELECT count(*) FROM c) AS total_matches FROM drugproduct p SEMI JOIN k USING (drug_code)""")
 def catalogue_search(spark: SparkSession, d: str) -> DataFrame:
-    """Codes of all terms together, sorted, capped at a preview of 150, with the number before the cap."""
     a, p = table(spark, d, "activeingredient"), table(spark, d, "drugproduct")
-    codes = a.where(F.contains(F.lower("ingredient_name"), F.lit("bafi"))).select("drug_code").union(p.where(F.contains(F.lower("brand_name"), F.lit("zov-"))).select("drug_code")).distinct()
-    total = F.lit(codes.count()).cast("long").alias("total_matches")
-    return p.join(F.broadcast(codes.orderBy("drug_code").limit(150)), "drug_code", "left_semi").select("drug_code", "row_id", "brand_name", total)
+    return search_catalogue(a, p, [_term(a, "ingredient_name", 4)], [_term(p, "brand_name", 4)])
 
 
-@query("""WITH hit AS (SELECT noc_number, noc_pi_din_product_id, min(row_id) AS first FROM api_medicinalingredient WHERE contains(upper(noc_pi_medic_ingr_name), 'WEXANE') GROUP BY ALL),
+def search_approvals(ingredients: DataFrame, main: DataFrame, term: str, most: int = 200) -> DataFrame:
+    """First approvals in encounter order with an ingredient, with all ingredients of the products found."""
+    pair = ["noc_number", "noc_pi_din_product_id"]
+    hit = ingredients.where(F.contains(F.upper("noc_pi_medic_ingr_name"), F.lit(term.upper()))).groupBy(*pair).agg(F.min("row_id").alias("first"))
+    capped = hit.groupBy("noc_number").agg(F.min("first").alias("first")).orderBy("first").limit(most)
+    nest = ingredients.join(hit, pair, "left_semi").join(F.broadcast(capped), "noc_number", "left_semi").groupBy(*pair).agg(F.array_join(F.array_sort(F.collect_set(F.upper("noc_pi_medic_ingr_name"))), "; ").alias("ingredients"))
+    one = relational.first_rows(main, ["noc_number"], [F.col("row_id")]).select("noc_number", "noc_manufacturer_name", "noc_date")
+    return nest.withColumnRenamed("noc_pi_din_product_id", "product_id").join(one, "noc_number", "left")
+
+
+@query(f"""WITH {_TERMS}, hit AS (SELECT noc_number, noc_pi_din_product_id, min(row_id) AS first FROM api_medicinalingredient, t WHERE contains(upper(noc_pi_medic_ingr_name), n) GROUP BY ALL),
  capped AS (SELECT noc_number FROM (SELECT noc_number, min(first) AS f FROM hit GROUP BY 1) ORDER BY f LIMIT 200),
  m AS (SELECT noc_number, noc_pi_din_product_id AS product_id, array_to_string(list_sort(list(DISTINCT upper(noc_pi_medic_ingr_name))), '; ') AS ingredients FROM api_medicinalingredient SEMI JOIN hit USING (noc_number, noc_pi_din_product_id) SEMI JOIN capped USING (noc_number) GROUP BY 1, 2),
  one AS (SELECT noc_number, noc_manufacturer_name, noc_date FROM api_main QUALIFY row_number() OVER (PARTITION BY noc_number ORDER BY row_id) = 1)
  SELECT m.*, noc_manufacturer_name, noc_date FROM m LEFT JOIN one USING (noc_number)""")
 def approval_search(spark: SparkSession, d: str) -> DataFrame:
-    """First 200 approvals in encounter order with an ingredient, with all ingredients of the products found."""
     i = table(spark, d, "api_medicinalingredient")
-    pair = ["noc_number", "noc_pi_din_product_id"]
-    hit = i.where(F.contains(F.upper("noc_pi_medic_ingr_name"), F.lit("WEXANE"))).groupBy(*pair).agg(F.min("row_id").alias("first"))
-    capped = hit.groupBy("noc_number").agg(F.min("first").alias("first")).orderBy("first").limit(200)
-    nest = i.join(hit, pair, "left_semi").join(F.broadcast(capped), "noc_number", "left_semi").groupBy(*pair).agg(F.array_join(F.array_sort(F.collect_set(F.upper("noc_pi_medic_ingr_name"))), "; ").alias("ingredients"))
-    main = relational.first_rows(table(spark, d, "api_main"), ["noc_number"], [F.col("row_id")]).select("noc_number", "noc_manufacturer_name", "noc_date")
-    return nest.withColumnRenamed("noc_pi_din_product_id", "product_id").join(main, "noc_number", "left")
+    return search_approvals(i, table(spark, d, "api_main"), _term(i, "noc_pi_medic_ingr_name", 5))
 
 
 # --- joins ------------------------------------------------------------------------------------------------------------
@@ -261,9 +282,9 @@ def _metric(name: str) -> F.Column:
     return amount(F.col(f"{name}_mat_2024_06")).cast("decimal(18,2)")
 
 
-@query(f"SELECT combined_molecule, product, manufacturer, strength, {_MONEY['dollars']} AS dollars, {_MONEY['units']} AS units, string_agg(row_id::VARCHAR, ', ' ORDER BY row_id) AS source_rows FROM old_extract WHERE snapshot_no = 6 GROUP BY 1, 2, 3, 4")
+@query(f"SELECT combined_molecule, product, manufacturer, strength, {_MONEY['dollars']} AS dollars, {_MONEY['units']} AS units, string_agg(row_id::VARCHAR, ', ' ORDER BY row_id) AS source_rows FROM old_extract WHERE snapshot_no = (SELECT max(snapshot_no) FROM old_extract) GROUP BY 1, 2, 3, 4")
 def sales_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "old_extract").where("snapshot_no = 6")
+    rows = _last_delivery(spark, d)
     out = sales.collapse(rows, [F.col(c) for c in ("combined_molecule", "product", "manufacturer", "strength")], {"dollars": _metric("dollars"), "units": _metric("units")}, "row_id")
     return out.withColumns({m: F.col(m).cast("double") for m in ("dollars", "units")})
 
@@ -274,9 +295,10 @@ def sales_pivot(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("channel").pivot("province", ["ontario", "quebec", "alberta"]).agg(F.coalesce(F.sum("x"), F.lit(0)).cast("double")).na.fill(0.0)
 
 
-@query("""SELECT metric, max(period) AS latest FROM (VALUES ('dollars', '2023/06'), ('units', '2023/06'), ('ext_units', '2023/06'), ('dollars', '2024/06'), ('units', '2024/06'), ('ext_units', '2024/06')) t(metric, period) GROUP BY 1""")
+@query("""SELECT regexp_extract(column_name, '^(\\w+?)_mat_', 1) AS metric, max(regexp_extract(column_name, '_mat_(\\d{4})_\\d{2}$', 1) || '/' || regexp_extract(column_name, '_(\\d{2})$', 1)) AS latest
+ FROM (DESCRIBE SELECT * FROM old_extract) WHERE regexp_matches(column_name, '^\\w+?_mat_\\d{4}_\\d{2}$') GROUP BY 1""")
 def latest_periods(spark: SparkSession, d: str) -> DataFrame:
-    """Latest period of each metric, read off the header."""
+    """Latest period of each metric: the header of the extract is its only place."""
     import re
 
     found = [(m[1], f"{m[2]}/{m[3]}") for c in table(spark, d, "old_extract").columns if (m := re.fullmatch(r"(\w+?)_mat_(\d{4})_(\d{2})", c))]
@@ -287,17 +309,28 @@ def _sum(m: str) -> str:
     return f"sum(CAST({_AMOUNT.format(c=m + '_mat_2024_06')} AS DECIMAL(18,2)))::DOUBLE AS {m}"
 
 
-_QOQ = f"""o AS (SELECT combined_molecule, province, {_sum("dollars")}, {_sum("units")} FROM old_extract WHERE snapshot_no = 1 AND combined_molecule IS NOT NULL AND province IS NOT NULL GROUP BY 1, 2),
- n AS (SELECT combined_molecule, province, {_sum("dollars")}, {_sum("units")} FROM old_extract WHERE snapshot_no = 6 AND combined_molecule IS NOT NULL AND province IS NOT NULL GROUP BY 1, 2),
+_QOQ = f"""ends AS (SELECT min(snapshot_no) AS a, max(snapshot_no) AS b FROM old_extract),
+ o AS (SELECT combined_molecule, province, {_sum("dollars")}, {_sum("units")} FROM old_extract WHERE snapshot_no = (SELECT a FROM ends) AND combined_molecule IS NOT NULL AND province IS NOT NULL GROUP BY 1, 2),
+ n AS (SELECT combined_molecule, province, {_sum("dollars")}, {_sum("units")} FROM old_extract WHERE snapshot_no = (SELECT b FROM ends) AND combined_molecule IS NOT NULL AND province IS NOT NULL GROUP BY 1, 2),
  j AS (SELECT combined_molecule, province, coalesce(o.dollars, 0) AS od, coalesce(n.dollars, 0) AS nd, coalesce(o.units, 0) AS ou, coalesce(n.units, 0) AS nu FROM o FULL JOIN n USING (combined_molecule, province)),
  s AS (SELECT *, CASE WHEN NOT (od > 0 OR ou > 0) AND (nd > 0 OR nu > 0) THEN 'entrant' WHEN (od > 0 OR ou > 0) AND NOT (nd > 0 OR nu > 0) THEN 'exit'
    WHEN (od > 0 OR ou > 0) AND (nd > 0 OR nu > 0) AND ((abs(nd - od) >= 100000 AND (od = 0 OR abs(nd - od) >= 0.1 * od)) OR (abs(nu - ou) >= 1000 AND (ou = 0 OR abs(nu - ou) >= 0.1 * ou))) THEN 'move'
    WHEN (od > 0 OR ou > 0) AND (nd > 0 OR nu > 0) THEN 'steady' END AS signal FROM j)"""
 
 
+def _deliveries(spark: SparkSession, d: str) -> tuple[int | None, int | None]:
+    """The first and the last delivery there are."""
+    return tuple(table(spark, d, "old_extract").agg(F.min("snapshot_no"), F.max("snapshot_no")).first())
+
+
+def _last_delivery(spark: SparkSession, d: str) -> DataFrame:
+    """All rows of the last delivery, which a report is on."""
+    return table(spark, d, "old_extract").where(F.col("snapshot_no") == F.lit(_deliveries(spark, d)[1]))
+
+
 def _compared(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "old_extract").where("combined_molecule IS NOT NULL AND province IS NOT NULL")
-    one = [sales.collapse(rows.where(F.col("snapshot_no") == n), [F.col("combined_molecule"), F.col("province")], {m: _metric(m) for m in ("dollars", "units")}).withColumns({m: F.col(m).cast("double") for m in ("dollars", "units")}) for n in (1, 6)]
+    one = [sales.collapse(rows.where(F.col("snapshot_no") == F.lit(n)), [F.col("combined_molecule"), F.col("province")], {m: _metric(m) for m in ("dollars", "units")}).withColumns({m: F.col(m).cast("double") for m in ("dollars", "units")}) for n in _deliveries(spark, d)]
     return sales.compare_periods(one[0], one[1], ["combined_molecule", "province"], ["dollars", "units"])
 
 
@@ -485,7 +518,7 @@ def _catalogue(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def line_matches(spark: SparkSession, d: str) -> DataFrame:
     """Sales groups of the last snapshot matched to catalogue products, with the confidence of each match."""
-    sold = table(spark, d, "old_extract").where("snapshot_no = 6").select("combined_molecule", "product", "manufacturer", "strength").distinct()
+    sold = _last_delivery(spark, d).select("combined_molecule", "product", "manufacturer", "strength").distinct()
     found = matcher.match_sales(sold, _catalogue(spark, d))
     return found.withColumn("confidence", matcher.confidence(F.col("status"), F.col("top_score")))
 
@@ -558,6 +591,6 @@ def patent_findings(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def match_audit(spark: SparkSession, d: str) -> DataFrame:
     """Every match weighed anew against its rivals, the suspicious ones marked."""
-    sold = table(spark, d, "old_extract").where("snapshot_no = 6").select("combined_molecule", "product", "manufacturer", "strength").distinct()
+    sold = _last_delivery(spark, d).select("combined_molecule", "product", "manufacturer", "strength").distinct()
     catalogue = _catalogue(spark, d)
     return audit.audit_matches(matcher.match_sales(sold, catalogue).where("status = 'matched'"), sold, catalogue)
