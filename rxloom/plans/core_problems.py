@@ -79,8 +79,7 @@ def patent_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def p4_differences(spark: SparkSession, d: str) -> DataFrame:
     store, bulk = patent_sides(spark, d)
-    rows = max(table(spark, d, t).count() for t in ("store_patents", "patent_bulk"))
-    found = compare_copies(store, bulk, DATE_FIELDS, rows, names=("store", "bulk"))
+    found = compare_copies(store, bulk, DATE_FIELDS, names=("store", "bulk"))
     return found.select(
         F.lpad(F.floor(F.col("key") / 10_000_000).cast("string"), 8, "0").alias("din"),
         F.lpad((F.col("key") % 10_000_000).cast("string"), 7, "0").alias("patent_number"),
@@ -92,6 +91,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_differences(spark, d).select("din", "patent_number", "difference")
 
 
+def p4_unusable_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of either copy that name no pair: what the comparison can't hold against the other copy."""
+    one = lambda t, key: table(spark, d, t).select(F.lit(t).alias("source_table"), F.col(key).alias("row_no"), "din", "patent_number")
+    rows = one("store_patents", "row_id").unionByName(one("patent_bulk", "line_no"))
+    named = (F.length(normalize_din(F.col("din"))) == 8) & (F.length(F.regexp_replace("patent_number", r"\D", "")) == 7)
+    return rows.where(~F.coalesce(named, F.lit(False)))
+
+
 def p6_values(spark: SparkSession, d: str) -> DataFrame:
     return split_values(
         [
@@ -106,7 +113,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_values(spark, d).drop("flag")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_changes, p3_found, p3_converted, p4_found, p4_differences, p6_found, p6_values)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_changes, p3_found, p3_converted, p4_found, p4_differences, p4_unusable_keys, p6_found, p6_values)}
 
 #: The same results in plain SQL, where it can express them.
 _AMOUNT = r"""CASE WHEN {c} IS NULL OR regexp_replace({c}, '[\s\x{{00A0}}\x{{2009}}\x{{202F}}$,]', '', 'g') IN ('', '-') THEN 0.0
@@ -127,7 +134,10 @@ _SIDE = """{name} AS (SELECT lpad(regexp_replace(din, '\\D', '', 'g'), 8, '0') A
   WHERE length(regexp_replace(din, '\\D', '', 'g')) BETWEEN 1 AND 8 AND length(regexp_replace(patent_number, '\\D', '', 'g')) = 7
   QUALIFY row_number() OVER (PARTITION BY lpad(regexp_replace(din, '\\D', '', 'g'), 8, '0'), regexp_replace(patent_number, '\\D', '', 'g') ORDER BY {order}) = 1)"""
 
+_UNNAMED = "NOT coalesce(length(regexp_replace(din, '\\D', '', 'g')) BETWEEN 1 AND 8 AND length(regexp_replace(patent_number, '\\D', '', 'g')) = 7, false)"
+
 SQL = {
+    "p4_unusable_keys": f"SELECT 'store_patents' AS source_table, row_id AS row_no, din, patent_number FROM store_patents WHERE {_UNNAMED} UNION ALL SELECT 'patent_bulk', line_no, din, patent_number FROM patent_bulk WHERE {_UNNAMED}",
     "p2_found": f"""WITH {_LATEST}
  SELECT b AS snapshot_no, line_key, change_kind FROM (
   SELECT p.b, coalesce(n.line_key, o.line_key) AS line_key, CASE WHEN o.line_key IS NULL THEN 'added' WHEN n.line_key IS NULL THEN 'removed'
