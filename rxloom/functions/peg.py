@@ -7,8 +7,9 @@
     bracketed <- '(' (bracketed / !')' .)* ')'          also [ ] and { }
     phrase    <- '"' ('""' / !'"' .)* '"'               a quotation within a value
 
-Alternatives are tried in order and a failed one gives back all it read: a quote or bracket that never closes is read
-again as a plain character and flags its item. Memory is linear: each alternative is tried once a position.
+Each rule is a method of Packrat that gives where it ends, or -1 if it fails. Alternatives are tried in order and a failed
+one gives back all it read: a quote or bracket that never closes is read again as a plain character and flags its item.
+Ends of quotes and brackets are memoised by position, so that time and memory are linear however often one fails.
 """
 
 from __future__ import annotations
@@ -45,31 +46,6 @@ SUBSTANCES = Grammar((r"[;,/+|&!\t\n]|(?<=\s)(?:AND|WITH|and|with|And|With)(?=\s
 LISTED = Grammar((r"\n|•", r"\t", r";", r"\|", r"(?<=\s)/(?=\s)", r"(?<=\s)\+(?=\s)", r","), conjunction=r"(?<![-\s])\s+(?:and|And|AND|et|ET)(?=\s)", headings=True)
 
 
-def closing_quote(s: str, i: int) -> int:
-    """Index after the quote that closes the one at i; -1: none does."""
-    i += 1
-    while i < len(s):
-        if s[i] == '"':
-            if s[i + 1 : i + 2] != '"':
-                return i + 1
-            i += 1
-        i += 1
-    return -1
-
-
-def closing_bracket(s: str, i: int) -> int:
-    """Index after the bracket that closes the one at i; -1: it or one within it never closes."""
-    stack = []
-    for j in range(i, len(s)):
-        if s[j] in PAIRS:
-            stack.append(PAIRS[s[j]])
-        elif stack and s[j] == stack[-1]:
-            stack.pop()
-            if not stack:
-                return j + 1
-    return -1
-
-
 def closings(s: str) -> dict[int, int]:
     """For each quote and opening bracket that closes, the index after what closes it; from the end, each position once."""
     n, out = len(s), {}
@@ -96,46 +72,91 @@ def skip_blank(s: str, i: int) -> int:
     return i
 
 
-def spans(s: str, delimiter: re.Pattern) -> list[tuple[int, int, str]]:
-    """(start, end, flag) of each item of the list."""
-    out, start, i, flag = [], 0, 0, ""
-    closing: dict[int, int] | None = None  # made when a quote or bracket first fails
-    fresh = True
-    while i < len(s):
-        if s[i] == '"':
-            end = closing_quote(s, i) if closing is None else closing.get(i, -1)
-            if end < 0 and closing is None:
-                closing = closings(s)
-            if end > 0 and fresh:
-                after = skip_blank(s, end)
-                if after < len(s) and not delimiter.match(s, after) and not delimiter.match(s, end):
-                    flag = flag or "text_after_quote"  # quoted fails; bare reads it as a phrase
-            if end > 0:
-                i, fresh = end, False
+class Packrat:
+    """The rules of the grammar over one text; a rule gives where it ends, -1 if it fails."""
+
+    def __init__(self, s: str, delimiter: re.Pattern):
+        self.s, self.delimiter = s, delimiter
+        self.ends: dict[int, int] | None = None
+        self.stop = special(delimiter.pattern)
+
+    def closing(self, i: int) -> int:
+        if self.ends is None:
+            self.ends = closings(self.s)
+        return self.ends.get(i, -1)
+
+    def delimited(self, i: int) -> int:
+        m = self.delimiter.match(self.s, i)
+        return m.end() if m and m.end() > i else -1
+
+    def bracketed(self, i: int) -> int:
+        return self.closing(i) if self.s[i] in PAIRS else -1
+
+    def phrase(self, i: int) -> int:
+        return self.closing(i) if self.s[i] == '"' else -1
+
+    def quoted(self, i: int) -> int:
+        end = self.phrase(i)
+        after = skip_blank(self.s, end) if end > 0 else -1
+        return end if end > 0 and (after == len(self.s) or self.delimited(after) > 0 or self.delimited(end) > 0) else -1
+
+    def bare(self, i: int) -> tuple[int, str]:
+        """(end, flag): up to the next delimiter outside brackets and phrases."""
+        flag = ""
+        while m := self.stop.search(self.s, i):
+            i, c = m.start(), m.group()
+            if c not in OPENERS:
+                if m.end() > i:
+                    return i, flag
+                i += 1
                 continue
-            flag = "open_quote"
-        elif s[i] in PAIRS:
-            end = closing_bracket(s, i) if closing is None else closing.get(i, -1)
-            if end < 0 and closing is None:
-                closing = closings(s)
-                end = closing.get(i, -1)
+            end = self.bracketed(i)
+            if end < 0:
+                end = self.phrase(i)
+            if end < 0:
+                flag, end = "open_quote" if c == '"' else "open_bracket", i + 1
+                if self.delimited(i) > 0:
+                    return i, flag
+            i = end
+        return len(self.s), flag
+
+    def item(self, i: int) -> tuple[int, str]:
+        """(end, flag) of an item from i."""
+        first = skip_blank(self.s, i)
+        if first < len(self.s) and self.s[first] == '"':
+            end = self.quoted(first)
             if end > 0:
-                i, fresh = end, False
-                continue
-            flag = "open_bracket"
-        elif (m := delimiter.match(s, i)) and m.end() > i:
-            out.append((start, i, flag))
-            start = i = m.end()
-            flag, fresh = "", True
-            continue
-        fresh = fresh and s[i] in BLANK
-        i += 1
-    out.append((start, len(s), flag))
-    return out
+                return self.bare(end)[0], ""  # blanks up to the delimiter
+            end, flag = self.bare(i)
+            return end, flag or ("text_after_quote" if self.phrase(first) > 0 else "")
+        return self.bare(i)
+
+    def items(self) -> list[tuple[int, int, str]]:
+        out, i = [], 0
+        while True:
+            end, flag = self.item(i)
+            out.append((i, end, flag))
+            if end >= len(self.s):
+                return out
+            i = self.delimited(end)
+
+
+OPENERS = frozenset('"([{')
+_special: dict[str, re.Pattern] = {}
+
+
+def special(delimiter: str) -> re.Pattern:
+    """What ends a run of plain characters: an opener or a delimiter."""
+    return _special.setdefault(delimiter, re.compile(rf'["(\[{{]|(?:{delimiter})'))
+
+
+def spans(s: str, delimiter: re.Pattern) -> list[tuple[int, int, str]]:
+    """(start, end, flag) of each item of the list."""
+    return Packrat(s, delimiter).items()
 
 
 def unquote(s: str) -> str:
-    if len(s) > 1 and s[0] == '"' and closing_quote(s, 0) == len(s):
+    if len(s) > 1 and s[0] == '"' and closings(s).get(0) == len(s):
         s = s[1:-1]
     return s.replace('""', '"')
 

@@ -49,3 +49,10 @@ def test_a_bracket_closes_after_one_that_does_not(spark):
     assert [v for _, v, _ in parse(deep, SUBSTANCES)][1:] == ["(a;b)"]
     df = spark.createDataFrame([(1, "Core: lactose. Coating: talc")], "row_id long, t string")
     assert [r.item_value for r in split_values([("s", df, "row_id", "t", "listed")]).collect()] == ["LACTOSE", "TALC"]
+
+
+@pytest.mark.parametrize(("a", "z"), [("(", ")"), ("[", "]"), ("{", "}")])
+def test_unbalanced_nests_of_every_bracket(a, z):
+    got = parse(f"X {a}Y {a}A, B{z}, C", SUBSTANCES)
+    assert got == [(1, f"X {a}Y {a}A, B{z}", "open_bracket"), (2, "C", "")]
+    assert [v for _, v, _ in parse(f"X {a}Y ({a}A, B{z}){z}, C{z}, D", SUBSTANCES)] == [f"X {a}Y ({a}A, B{z}){z}", f"C{z}", "D"]
