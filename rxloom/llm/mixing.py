@@ -6,8 +6,9 @@ because it may repeat its texts only so often, goes to its siblings by weight; w
 node's siblings, and so on to the root. A leaf fills its budget with seeded epochs: whole passes over its texts and the
 prefix of one more pass, in an order drawn from the seed.
 
-Only sums per leaf reach the driver: as many as mix targets times languages. The prefix is cut in two steps, over sums
-of hash buckets and then within the one bucket that holds the cut, so that no task sorts a whole source.
+Only sums per leaf reach the driver: as many as mix targets times languages. The prefix is cut in three steps: over sums of
+CELLS coarse cells of the drawn order, over sums of as many fine cells of the coarse one that holds the cut, and within
+that fine cell. So no task sums or sorts more than CELLS rows or a part in CELLS x CELLS of a source.
 """
 
 from __future__ import annotations
@@ -17,13 +18,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The domain of each source; a source that isn't named forms a domain of its own.
-DOMAINS = {
-    "monograph": "label", "leaflet": "label", "scan_dump": "label",
-    "approval_summary": "register", "patent_abstract": "register", "recall_notice": "register",
-    "market_note": "market", "trade_bulletin": "market",
-}
-BUCKET_ROWS = 500
+#: Cells of the drawn order on each of two levels, as powers of 2.
+CELL_BITS = 10
 
 
 @dataclass
@@ -64,11 +60,12 @@ class Node:
             c.spend(given.get(id(c), 0.0))
 
 
-def leaf_budgets(targets: list[tuple[str, str, float, int]], sums: dict[tuple[str, str], int], total: float | str | None = None) -> list[tuple[str, str, str, str, float, int, int]]:
+def leaf_budgets(targets: list[tuple[str, str, float, int]], sums: dict[tuple[str, str], int], total: float | str | None = None, domains: dict[str, str] | None = None) -> list[tuple[str, str, str, str, float, int, int]]:
     """(mix, source, language, domain, budget, tokens of one epoch, most repeats) of each leaf.
 
     sums: tokens by (source, language). total: size of a mix in tokens, by default what its sources hold once;
-    `reachable` is the largest size at which no source that has documents falls short of its share.
+    `reachable` is the largest size at which no source that has documents falls short of its share. domains: that of each
+    source; a source that isn't named forms a domain of its own.
     """
     out = []
     for mix in sorted({t[0] for t in targets}):
@@ -78,7 +75,7 @@ def leaf_budgets(targets: list[tuple[str, str, float, int]], sums: dict[tuple[st
             langs = {lang: n for (s, lang), n in sums.items() if s == source}
             whole = sum(langs.values())
             for lang, n in sorted(langs.items()):
-                domain = DOMAINS.get(source, source)
+                domain = (domains or {}).get(source, source)
                 leaf = root.child(domain).child(lang).child(source)
                 leaf.weight, leaf.capacity = (share * n / whole if whole else 0.0), float(n * max(0, repeats))
                 leaves.append((source, lang, domain, leaf, n, max(0, repeats)))
@@ -95,10 +92,10 @@ def language(c: Column) -> Column:
     return F.when(low.rlike("^[a-z]{2}$"), low).otherwise(F.lit("und"))
 
 
-def mix_choice(sized: DataFrame, targets: DataFrame, rows: int, seed: int = 17, total: float | str | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix_choice(sized: DataFrame, targets: DataFrame, seed: int = 17, total: float | str | None = None, domains: dict[str, str] | None = None, cell_bits: int = CELL_BITS) -> DataFrame:
     """(mix_name, source, lang, domain, doc_id, n_tokens, times) of each document used in a mix.
 
-    sized: doc_id, source, lang, n_tokens; computed twice, so materialise it before. targets: mix_name, source,
+    sized: doc_id, source, lang, n_tokens; read several times, so materialise it before. targets: mix_name, source,
     target_share, max_repeats. Documents without id, text, tokens or source can't count towards a share and are left out; an
     unknown language is `und`. A source without documents leaves its share to its siblings. Empty tables give no rows.
     """
@@ -106,21 +103,29 @@ def mix_choice(sized: DataFrame, targets: DataFrame, rows: int, seed: int = 17,
     docs = sized.where("doc_id IS NOT NULL AND n_tokens > 0 AND source IS NOT NULL").select("doc_id", "source", language(F.col("lang")).alias("lang"), "n_tokens")
     sums = {(r[0], r[1]): int(r[2]) for r in docs.groupBy("source", "lang").agg(F.sum("n_tokens")).collect()}
     wanted = [(r[0], r[1], float(r[2]), int(r[3])) for r in targets.where("mix_name IS NOT NULL AND source IS NOT NULL").select("mix_name", "source", F.coalesce("target_share", F.lit(0.0)), F.coalesce("max_repeats", F.lit(1))).collect()]
-    leaves = [(m, s, lang, dom, n, min(int(b // n), r), int(b - n * min(int(b // n), r)) if b < n * r else 0) for m, s, lang, dom, b, n, r in leaf_budgets(wanted, sums, total) if n]
+    leaves = [(m, s, lang, dom, n, min(int(b // n), r), int(b - n * min(int(b // n), r)) if b < n * r else 0) for m, s, lang, dom, b, n, r in leaf_budgets(wanted, sums, total, domains) if n]
     plan = spark.createDataFrame(leaves, "mix_name string, source string, lang string, domain string, leaf_tokens long, epochs int, prefix long")
-    buckets = max(16, -(-rows // bucket_rows))
-    # as many rows as mix targets times languages
+    # the plan and the cuts have as many rows as mix targets times languages
     used = docs.join(F.broadcast(plan.where("epochs > 0 OR prefix > 0")), ["source", "lang"]).withColumn("draw", F.xxhash64(F.lit(seed), "mix_name", "epochs", "doc_id"))
-    used = used.withColumn("bucket", F.pmod("draw", F.lit(buckets)))
+    cell = lambda level: F.shiftrightunsigned("draw", 64 - level * cell_bits).bitwiseAND((1 << cell_bits) - 1)
+    used = used.withColumn("coarse", cell(1)).withColumn("fine", cell(2))
     leaf = ["mix_name", "source", "lang"]
-    before = Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums_by_bucket = used.where("prefix > 0").groupBy(*leaf, "bucket", "prefix").agg(F.sum("n_tokens").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(before), F.lit(0)))
-    at_cut = sums_by_bucket.where("before <= prefix AND before + t > prefix").select(*leaf, F.col("bucket").alias("cut"), F.col("before").alias("so_far"))
-    # one row for each leaf
-    marked = used.join(F.broadcast(at_cut), leaf, "left")
+
+    def holding(rows: DataFrame, level: str, start: Column, name: str) -> DataFrame:
+        """The cell of each leaf that holds the cut, and the tokens before it."""
+        before = Window.partitionBy(*leaf).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+        sums = rows.groupBy(*leaf, level, "prefix", start.alias("start")).agg(F.sum("n_tokens").alias("t")).withColumn("before", F.col("start") + F.coalesce(F.sum("t").over(before), F.lit(0)))
+        return sums.where("before <= prefix AND before + t > prefix").select(*leaf, F.col(level).alias(f"cut_{level}"), F.col("before").alias(name))
+
+    first = holding(used.where("prefix > 0"), "coarse", F.lit(0).cast("long"), "so_far_coarse")
+    within = used.join(F.broadcast(first), leaf).where("coarse = cut_coarse")
+    second = holding(within, "fine", F.col("so_far_coarse"), "so_far")
+    marked = used.join(F.broadcast(first), leaf, "left").join(F.broadcast(second), leaf, "left")
     inside = Window.partitionBy(*leaf).orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = marked.where("prefix > 0 AND bucket = cut").withColumn("run", F.col("so_far") + F.sum("n_tokens").over(inside)).withColumn("extra", (F.col("run") <= F.col("prefix")).cast("int")).drop("run")
-    plain = marked.where("NOT (prefix > 0 AND cut IS NOT NULL AND bucket = cut)").withColumn("extra", F.when((F.col("prefix") > 0) & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut"))), 1).otherwise(0))
+    at_cut = F.coalesce((F.col("coarse") == F.col("cut_coarse")) & (F.col("fine") == F.col("cut_fine")), F.lit(False))
+    edge = marked.where(at_cut).withColumn("extra", (F.col("so_far") + F.sum("n_tokens").over(inside) <= F.col("prefix")).cast("int"))
+    early = (F.col("prefix") > 0) & (F.col("cut_coarse").isNull() | (F.col("coarse") < F.col("cut_coarse")) | ((F.col("coarse") == F.col("cut_coarse")) & (F.col("fine") < F.col("cut_fine"))))
+    plain = marked.where(~at_cut).withColumn("extra", early.cast("int"))
     both = plain.unionByName(edge)
     return both.withColumn("times", F.col("epochs") + F.col("extra")).where("times > 0").select("mix_name", "source", "lang", "domain", "doc_id", "n_tokens", "times")
 

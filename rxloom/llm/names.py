@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rxloom.functions.arrow import arrow_schema
-from rxloom.llm.tries import BOUND, Trie, allowed, segments, substrings
+from rxloom.llm.tries import Trie, allowed, bound_of, segments, substrings
 from rxloom.session import cut
 
 #: Words of each line of business, region and legal form, English and French, with their short forms.
@@ -184,7 +184,7 @@ def trie_join(keys: DataFrame, buckets: int) -> DataFrame:
                 trie = tries[k] = Trie()
                 for w, b in words[k]:
                     trie.add(w, (w, b))
-            out += [(a, b, d) for (w, b), d in trie.within(a, BOUND) if b != a and d <= allowed(a, w)]
+            out += [(a, b, d) for (w, b), d in trie.within(a, bound_of(len(a))) if b != a and d <= allowed(a, w)]
         return pd.DataFrame(out, columns=["a", "b", "distance"]).drop_duplicates()
 
     pairs = i.select(bucket, "seg", "t", "k", "w", "b").groupBy("bucket").cogroup(q.select(bucket, "seg", "t", "k", "a").groupBy("bucket")).applyInPandas(run, "a string, b string, distance int")
@@ -202,7 +202,7 @@ def link_names(names: DataFrame, rows: int) -> DataFrame:
     full = parsed.where("acronym = ''")
     # a unit is what is surely one firm: same core in any order, line of business and given name
     canon = F.array_min("orders")
-    units = full.groupBy(canon.alias("key"), "business", "given").agg(F.count("*").alias("n"), F.mode("region").alias("region"), F.mode("legal").alias("legal"), F.min("name_id").alias("unit"))
+    units = full.groupBy(canon.alias("key"), "business", "given").agg(F.count("*").alias("n"), F.mode("region", True).alias("region"), F.mode("legal", True).alias("legal"), F.min("name_id").alias("unit"))
     keys = full.groupBy(canon.alias("key")).agg(F.count("*").alias("freq"), F.array_distinct(F.flatten(F.collect_set("orders"))).alias("orders"))
     near = cut(trie_join(keys.select("key", "orders"), max(12, -(-rows // 1500))))
     totals = units.groupBy("key", "business").agg(F.sum("n").alias("kn"))
@@ -236,13 +236,15 @@ def link_names(names: DataFrame, rows: int) -> DataFrame:
         .select("ua", "ub")
     )
     parent = cut(u.select(F.col("unit").alias("ua")).join(best, "ua", "left").select("ua", F.coalesce("ub", "ua").alias("root")))
-    for _ in range(4):  # links lead to fuller or more frequent units only, so the way up is short and has no circle
+    while True:  # links lead to fuller or more frequent units only, so the way up has no circle; each round doubles its steps
         up = parent.select(F.col("ua").alias("root"), F.col("root").alias("next"))
-        parent = parent.join(up, "root", "left").select("ua", F.coalesce("next", "root").alias("root"))
-    parent = cut(parent)
+        higher = cut(parent.join(up, "root", "left").select("ua", F.coalesce("next", "root").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        parent = higher.drop("moved")
+        if higher.where("moved").isEmpty():
+            break
     members = full.select("name_id", canon.alias("key"), "business", "given", "region", "legal", "initials").join(u.select("key", "business", "given", F.col("unit").alias("ua")), ["key", "business", "given"]).join(parent, "ua").select("name_id", "root", "initials", "region", "legal")
     members = cut(members)
-    known = members.where("initials <> ''").groupBy("initials", "root").agg(F.mode("region").alias("region"), F.mode("legal").alias("legal"), F.count("*").alias("n"))
+    known = members.where("initials <> ''").groupBy("initials", "root").agg(F.mode("region", True).alias("region"), F.mode("legal", True).alias("legal"), F.count("*").alias("n"))
     known = known.withColumn("most", F.max("n").over(Window.partitionBy("root"))).where("n = most")
     short = parsed.where("acronym <> ''").select("name_id", F.col("acronym").alias("initials"), F.col("region").alias("r"), F.col("legal").alias("l"))
     fit = short.join(known, "initials").withColumn("e", F.when(F.col("r") == F.col("region"), 2).when((F.col("r") == "") | (F.col("region") == ""), 1).otherwise(-9) + ((F.col("l") == F.col("legal")) & (F.col("l") != "")).cast("int")).where("e >= 1")

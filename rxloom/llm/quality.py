@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rxloom.functions.arrow import Memo, arrow_schema
+from rxloom.session import cut
 
 CHUNK, FAN = 16_384, 64
 STATS = (
@@ -365,23 +366,24 @@ def document_statistics(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """
     spark = docs.sparkSession
     names = [f.name for f in arrow_schema(spark, STATS)]
-    target = arrow_schema(spark, STATS)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text").to_pylist()
-            rows = [text_statistics(t) for t in texts]
-            cols = [ids, *(pa.array(list(c), target.field(i + 1).type) for i, c in enumerate(zip(*rows)))] if rows else [pa.array([], f.type) for f in target]
-            yield pa.RecordBatch.from_arrays(cols, schema=target)
+    first_pass = arrow_schema(spark, f"{STATS}, chunk_no int, piece string")
+    empty = [pa.nulls(0, f.type) for f in first_pass]
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The statistics of texts of one chunk, and the chunks of the others, FAN at a time."""
         for b in batches:
-            for key, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                for start in range(0, len(t), FAN * chunk):
+            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            rows = [(i, *text_statistics(t), None, None) for i, t in zip(ids, texts) if len(t) <= chunk]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), first_pass)] if rows else empty, schema=first_pass)
+            for key, t in zip(ids, texts):
+                for start in range(0, len(t) if len(t) > chunk else 0, FAN * chunk):
                     parts = [t[i : i + chunk] for i in range(start, min(len(t), start + FAN * chunk), chunk)]
-                    numbers = range(start // chunk, start // chunk + len(parts))
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(parts), pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.string())], names=["doc_id", "chunk_no", "text"])
+                    cols = [pa.nulls(len(parts), f.type) for f in first_pass]
+                    cols[0] = pa.array([key] * len(parts), pa.int64())
+                    cols[-2:] = [pa.array(range(start // chunk, start // chunk + len(parts)), pa.int32()), pa.array(parts, pa.string())]
+                    yield pa.RecordBatch.from_arrays(cols, schema=first_pass)
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -402,10 +404,11 @@ def document_statistics(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(int(pdf["doc_id"].iloc[0]), *finish(merged(pdf)))], columns=names)
 
-    short = base.where(F.length("text") <= chunk).mapInArrow(whole, STATS)
-    long = base.where(F.length("text") > chunk)
-    # cut in one pass over the text, then spread, so that the chunks of a huge document are read by many tasks
-    pieces = long.mapInArrow(split, "doc_id long, chunk_no int, text string").repartition("doc_id", "chunk_no")
+    # one scan of the texts; what is kept are statistics, and the texts of long documents
+    kept = cut(base.mapInArrow(read, f"{STATS}, chunk_no int, piece string"))
+    short = kept.where("piece IS NULL").drop("chunk_no", "piece")
+    # chunks are spread, so that those of a huge document are read by many tasks
+    pieces = kept.where("piece IS NOT NULL").select("doc_id", "chunk_no", F.col("piece").alias("text")).repartition("doc_id", "chunk_no")
     state = "doc_id long, chunk_no int, state binary"
     tree = pieces.mapInArrow(states, state).groupBy("doc_id", F.floor(F.col("chunk_no") / FAN)).applyInPandas(partly, state)
     return short.unionByName(tree.groupBy("doc_id").applyInPandas(final, STATS))

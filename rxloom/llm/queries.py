@@ -50,22 +50,29 @@ def p8_each_unused(spark: SparkSession, d: str) -> DataFrame:
     return packing_report(p8_each(spark, d))
 
 
+#: The tree of this project's sources.
+DOMAINS = {
+    "monograph": "label", "leaflet": "label", "scan_dump": "label",
+    "approval_summary": "register", "patent_abstract": "register", "recall_notice": "register",
+    "market_note": "market", "trade_bulletin": "market",
+}
+
+
 def p9_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The largest mixes in which every source that has documents reaches its share."""
     targets = table(spark, d, "mix_targets")
-    choice = mix_choice(sized_documents(spark, d), targets, table(spark, d, "documents").count())
-    return with_shares(choice, targets)
+    return with_shares(mix_choice(sized_documents(spark, d), targets, total="reachable", domains=DOMAINS), targets)
 
 
-def p9_reachable(spark: SparkSession, d: str) -> DataFrame:
-    """The largest mixes in which every source that has documents reaches its share."""
+def p9_once(spark: SparkSession, d: str) -> DataFrame:
+    """Mixes as large as what their sources hold once: where one falls short of its share, its siblings take over."""
     targets = table(spark, d, "mix_targets")
-    choice = mix_choice(sized_documents(spark, d), targets, table(spark, d, "documents").count(), total="reachable")
-    return with_shares(choice, targets)
+    return with_shares(mix_choice(sized_documents(spark, d), targets, domains=DOMAINS), targets)
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
-    return share_report(mix_choice(sized_documents(spark, d), targets, table(spark, d, "documents").count()), targets)
+    return share_report(mix_choice(sized_documents(spark, d), targets, total="reachable", domains=DOMAINS), targets)
 
 
 def linked_names(spark: SparkSession, d: str) -> DataFrame:
@@ -101,5 +108,5 @@ def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return repair(table(spark, d, "piqray_pages"), paragraphs=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p5_found, p5_firms, p7_found, p7_matches, p10_found, p10_statistics, p8_packing, p8_each, p8_unused, p8_each_unused, p9_choice, p9_reachable, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p5_found, p5_firms, p7_found, p7_matches, p10_found, p10_statistics, p8_packing, p8_each, p8_unused, p8_each_unused, p9_choice, p9_once, p9_shares)}
 SQL: dict[str, str] = {}

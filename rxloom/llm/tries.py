@@ -3,9 +3,10 @@
 The distance is optimal string alignment: insertions, deletions, substitutions and swaps of neighbours cost 1. The
 automaton of a query is its dynamic-programming row; a branch is left as soon as no entry is within the bound.
 
-For a distributed join the names are sharded: a name of length n is cut into BOUND + 1 segments, and a name within the
-bound must hold one of them unchanged, shifted by no more than the bound allows. A swap across a cut would spoil two
-segments; a query therefore also asks for its substrings with an end exchanged for the character beyond it.
+For a distributed join the names are sharded: a name that may have k errors is cut into k + 1 segments, and a name within
+the bound must hold one of them unchanged, shifted by no more than the bound allows. Short names may have fewer errors, so
+their segments aren't shorter than those of long ones. A swap across a cut would spoil two segments; a query therefore also
+asks for its substrings with an end exchanged for the character beyond it.
 """
 
 from __future__ import annotations
@@ -62,7 +63,10 @@ class Trie:
 
 def allowed(a: str, b: str) -> int:
     """Bound of the distance between two names: short ones have little that tells a typo from another name."""
-    n = min(len(a), len(b))
+    return bound_of(min(len(a), len(b)))
+
+
+def bound_of(n: int) -> int:
     return 0 if n < 4 else 1 if n < 6 else BOUND
 
 
@@ -77,15 +81,15 @@ def cuts(n: int, parts: int = BOUND + 1) -> list[tuple[int, int]]:
 
 
 def segments(word: str) -> list[str]:
-    return [f"{len(word)}.{i}.{word[a:b]}" for i, (a, b) in enumerate(cuts(len(word)))]
+    return [f"{len(word)}.{i}.{word[a:b]}" for i, (a, b) in enumerate(cuts(len(word), bound_of(len(word)) + 1))]
 
 
-def substrings(query: str, bound: int = BOUND) -> set[str]:
-    """Every segment key of a word within the bound of the query is among these for at least one of its segments."""
+def substrings(query: str) -> set[str]:
+    """Every segment key of a word within the allowed distance is among these for at least one of its segments."""
     n, out = len(query), set()
-    for m in range(max(1, n - bound), n + bound + 1):
-        delta = n - m
-        for i, (a, b) in enumerate(cuts(m)):
+    for m in range(max(1, n - BOUND), n + BOUND + 1):
+        bound, delta = bound_of(min(m, n)), n - m
+        for i, (a, b) in enumerate(cuts(m, bound_of(m) + 1)):
             for shift in range(-bound, bound + 1):
                 if abs(shift) + abs(delta - shift) > bound:
                     continue
@@ -94,7 +98,7 @@ def substrings(query: str, bound: int = BOUND) -> set[str]:
                     continue
                 s = query[p:q]
                 out.add(f"{m}.{i}.{s}")
-                if s:
+                if s and bound:
                     right = s[:-1] + query[q] if q < n else s
                     out.add(f"{m}.{i}.{right}")
                     if p > 0:

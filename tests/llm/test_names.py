@@ -18,7 +18,7 @@ def osa(a, b):
     return d[len(a)][len(b)]
 
 
-WORD = st.text("ABC", min_size=3, max_size=9)
+WORD = st.text("ABC", min_size=2, max_size=9)
 
 
 @settings(max_examples=150, deadline=None)
@@ -29,8 +29,8 @@ def test_automaton_and_shards_are_exact(words, query):
         t.add(w, w)
     near = {w: osa(query, w) for w in words if osa(query, w) <= BOUND}
     assert dict(t.within(query, BOUND)) == near
-    for w in near:
-        assert set(segments(w)) & substrings(query), (query, w)
+    for w, distance in near.items():
+        assert distance > allowed(query, w) or set(segments(w)) & substrings(query), (query, w)
 
 
 def test_trie_join_against_brute_force(spark, monkeypatch):
@@ -79,3 +79,13 @@ def test_long_names(spark):
     assert keys[1] == keys[2] != keys[3] and keys[5] == keys[6] and len(set(keys.values())) == 4
     df = spark.createDataFrame([(k, parse_name(t)["orders"]) for k, t in {keys[i]: t for i, t in rows if i != 2}.items()], "key string, orders array<string>")
     assert {(r.a, r.b): r.distance for r in trie_join(df, 2).collect()} == {(keys[1], keys[4]): 1, (keys[4], keys[1]): 1}
+
+
+def test_long_ways_up_end(spark):
+    """A chain of spellings, each two errors from the next and more frequent one, is one firm."""
+    rows, word = [], "KALIMORENTAVUS"
+    for step in range(7):
+        rows += [f"{word} LABORATORIES CANADA INC."] * 4**step
+        word = word[: 2 * step] + "XY"[step % 2] * 2 + word[2 * step + 2 :]
+    df = spark.createDataFrame(list(enumerate(rows)), "name_id long, spelling string")
+    assert link_names(df, len(rows)).select("firm").distinct().count() == 1

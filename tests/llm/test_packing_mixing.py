@@ -61,12 +61,15 @@ def test_tiers_keep_only_full_short_containers():
     assert len(caps) != len(pack_tiers(sizes, [1024])[1])
 
 
+TREE = {"monograph": "label", "leaflet": "label", "market_note": "market"}
+
+
 def test_budgets_redistribute_to_siblings_first():
     targets = [("m", "monograph", 0.5, 1), ("m", "leaflet", 0.2, 5), ("m", "market_note", 0.3, 5)]
     sums = {("monograph", "en"): 100, ("leaflet", "en"): 1000, ("market_note", "en"): 1000}
-    got = {r[1]: r[4] for r in leaf_budgets(targets, sums, total=1000)}
+    got = {r[1]: r[4] for r in leaf_budgets(targets, sums, total=1000, domains=TREE)}
     assert got == pytest.approx({"monograph": 100, "leaflet": 600, "market_note": 300})
-    got = {r[1]: r[4] for r in leaf_budgets(targets, {**sums, ("leaflet", "en"): 20}, total=1000)}
+    got = {r[1]: r[4] for r in leaf_budgets(targets, {**sums, ("leaflet", "en"): 20}, total=1000, domains=TREE)}
     assert got == pytest.approx({"monograph": 100, "leaflet": 100, "market_note": 800})
 
 
@@ -74,15 +77,17 @@ def test_choice(spark):
     rows = [(i, "ab"[i % 2] if i % 10 else None, ["EN", "fr", None][i % 3], 10 + i % 7, 1) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_tokens long, times int")
     targets = spark.createDataFrame([("m", "a", 0.7, 3), ("m", "b", 0.2, 1), ("m", "gone", 0.1, 9), ("n", "b", 1.0, 2)], "mix_name string, source string, target_share double, max_repeats int")
-    got = mix_choice(docs, targets, 3000, total=30_000, bucket_rows=50).toPandas()
+    got = mix_choice(docs, targets, total=30_000, cell_bits=3).toPandas()
     assert (got.groupby(["mix_name", "doc_id"]).size() == 1).all()
     assert (got.times >= 1).all() and got[(got.mix_name == "m") & (got.source == "a")].times.max() <= 3 and got[(got.mix_name == "m") & (got.source == "b")].times.max() == 1
-    rep = {(r.mix_name, r.source): r for r in share_report(mix_choice(docs, targets, 3000, total=30_000, bucket_rows=50), targets).collect()}
+    rep = {(r.mix_name, r.source): r for r in share_report(mix_choice(docs, targets, total=30_000, cell_bits=3), targets).collect()}
     assert rep["m", "gone"].tokens == 0 and sum(r.actual_share for k, r in rep.items() if k[0] == "m") == pytest.approx(1, abs=1e-5)
     assert 30_000 - 6 * 17 <= sum(r.tokens for k, r in rep.items() if k[0] == "m") <= 30_000
-    again = mix_choice(docs.repartition(7), targets, 3000, total=30_000, bucket_rows=50).toPandas()
+    again = mix_choice(docs.repartition(7), targets, total=30_000, cell_bits=3).toPandas()
     assert sorted(map(tuple, again.values.tolist())) == sorted(map(tuple, got.values.tolist()))
-    assert mix_choice(docs.limit(0), targets, 0).count() == 0
+    assert mix_choice(docs.limit(0), targets).count() == 0
+    for bits in (1, 10):  # cells only bound the work: the order drawn and so the choice are the same
+        assert sorted(map(tuple, mix_choice(docs, targets, total=30_000, cell_bits=bits).toPandas().values.tolist())) == sorted(map(tuple, got.values.tolist()))
 
 
 def test_reachable_total(spark):
