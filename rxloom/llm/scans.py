@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rxloom.functions.arrow import Memo
+from rxloom.session import cut
 
 #: What is read, and what may have been printed.
 CONFUSIONS = [
@@ -147,35 +148,29 @@ def page_number(line: str) -> int | None:
     return int(m.group(1)) if m else None
 
 
+def misread(n: int, right: int) -> bool:
+    """One digit of the number is another than that of the right one."""
+    a, b = str(n), str(right)
+    return len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1
+
+
 def edges(lines: list[str]) -> list[int]:
     full = [i for i, x in enumerate(lines) if x.strip()]
     return sorted({*full[:EDGE], *full[-EDGE:]})
 
 
 def counted(pages: DataFrame) -> tuple[dict[str, int], set[str]]:
-    """Frequent words with their counts, and those of them that several monographs use."""
+    """Frequent words with their counts, and those of them that several monographs use.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c: Counter = Counter()
-            m: dict[str, set] = defaultdict(set)
-            for g, t in zip(b.column("monograph_id").to_pylist(), b.column("text").to_pylist()):
-                for line in t.split("\n"):
-                    words = words_of(line)
-                    if words and line.rstrip()[-1:] in HYPHENS:
-                        words.pop()
-                    c.update(words)
-                    for w in words:
-                        if len(m[w]) < 8:
-                            m[w].add(g)
-            yield pa.RecordBatch.from_pydict({"word": list(c), "n": list(c.values()), "docs": [len(m[w]) for w in c]}, schema=pa.schema([("word", pa.string()), ("n", pa.int64()), ("docs", pa.int64())]))
-
-    words = pages.mapInArrow(run, "word string, n long, docs long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    words = words.persist()
-    total = words.agg(F.sum("n")).first()[0] or 0
+    A line's last word counts only if the line doesn't break it. All in built-in functions; monographs are counted exactly.
+    """
+    whole = F.regexp_replace("text", rf"(?m)\S*[{re.escape(HYPHENS)}][^\S\n]*$", " ")
+    words = pages.select("monograph_id", F.explode(F.split(whole, r"(?U)\s+")).alias("w")).select("monograph_id", F.lower(F.btrim("w", F.lit(OUTSIDE))).alias("word")).where("word <> ''")
+    by_monograph = words.groupBy("word", "monograph_id").agg(F.count("*").alias("n"))
+    table = cut(by_monograph.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("docs")))
+    total = table.agg(F.sum("n")).first()[0] or 0
     # at most 1 / FREQUENCY words
-    rows = words.where(F.col("n") >= max(3, total * FREQUENCY)).collect()
-    words.unpersist()
+    rows = table.where(F.col("n") >= max(3, total * FREQUENCY)).collect()
     return {r[0]: r[1] for r in rows}, {r[0] for r in rows if r[2] >= 5}
 
 
@@ -225,25 +220,45 @@ class Monograph:
         self.memo: dict[str, str | None] = {}
         self.names = self.find_names()
 
+    def page_numbers(self, found: list[tuple[int, int, int]]) -> set[tuple[int, int]]:
+        """(page, line) of the numbers at page edges, found as (page, line, number), that count the pages.
+
+        A sequence goes up with the pages: the distance of number and page is the same on two pages at least, or 0. A
+        number with one digit misread belongs to the sequence that its page has no other number of.
+        """
+        place = [p if n is None else n for p, n in enumerate(self.numbers)]
+        pages: dict[int, set[int]] = defaultdict(set)
+        for p, _, n in found:
+            pages[n - place[p]].add(place[p])
+        steps = {d for d, on in pages.items() if d == 0 or len(on) >= 2}
+        out = {(p, i) for p, i, n in found if n - place[p] in steps}
+        seen = {p for p, _ in out}
+        for p, i, n in found:
+            if p not in seen and any(misread(n, place[p] + d) for d in steps):
+                out.add((p, i))
+        return out
+
     def find_running(self, running: set[str], content: set[str]) -> list[set[int]]:
         out: list[set[int]] = [set() for _ in self.lines]
         rest: list[tuple[int, int, str, str]] = []
+        edge: list[tuple[int, int, int, int | None]] = []
         for p, lines in enumerate(self.lines):
-            full = [i for i, x in enumerate(lines) if x.strip()]
-            for i in edges(lines):
-                line = lines[i]
-                rank = min(full.index(i), len(full) - 1 - full.index(i))
-                n = page_number(line)
-                if n is not None and rank < 3:
+            full = {i: k for k, i in enumerate(i for i, x in enumerate(lines) if x.strip())}
+            edge += [(p, i, min(full[i], len(full) - 1 - full[i]), page_number(lines[i])) for i in edges(lines)]
+        numbers = self.page_numbers([(p, i, n) for p, i, rank, n in edge if n is not None and rank < 3])
+        for p, i, rank, n in edge:
+            line = self.lines[p][i]
+            if n is not None and rank < 3:
+                if (p, i) in numbers:
                     out[p].add(i)
-                    continue
-                if len(line.split()) > 12:
-                    continue
-                form = self.v.form(line)
-                if form in running and rank < 3:
-                    out[p].add(i)
-                elif form not in content and rank < 3:
-                    rest.append((p, i, " ".join(re.sub(r"\d+", "9", line).lower().split()), form))
+                continue
+            if len(line.split()) > 12:
+                continue
+            form = self.v.form(line)
+            if form in running and rank < 3:
+                out[p].add(i)
+            elif form not in content and rank < 3:
+                rest.append((p, i, " ".join(re.sub(r"\d+", "9", line).lower().split()), form))
         pages = len({n for n, t in zip(self.numbers, self.twin) if not t}) or 1
         bags = [frozenset(line.split()) for _, _, line, _ in rest]
         for (p, i, line, form), bag in zip(rest, bags):

@@ -86,3 +86,40 @@ def test_helpers():
     assert "tbe" not in v.counts and v.right("tbe") == "the" and v.right("rnonitored") == "monitored"
     assert undo("6ott|e", lambda w: w == "bottle")[0] == "bottle"
     assert [page_number(x) for x in ("[12]", "- 7 -", "Page 3 of 9", "p. 4", "10/21", "12 mg", "l2", "Table")] == [12, 7, 3, None, 10, None, 12, None]
+
+
+def test_page_numbers_are_sequences(spark):
+    rows = pages(seed=6, monographs=12, n=5)
+    lone = rows[2][3]
+    lone[-1:] = ["1000"]  # a value of a table at the edge of a page
+    rows[3][3][-1] = "[9]"  # 4, with its digit misread
+    got = {(r.page_id, r.line_no) for r in repair(frame(spark, rows)).where("defect = 'running_line'").collect()}
+    assert (3, len(lone)) not in got and (4, len(rows[3][3])) in got and (5, len(rows[4][3])) in got and (1, len(rows[0][3])) in got
+    from rxloom.llm.scans import Monograph
+
+    one = Monograph([1], [7], ["25\ntext of a page\n7"], Vocabulary({}), set(), set())
+    assert one.run == [{2}]
+    shifted = Monograph([1, 2, 3], [1, 2, 3], ["first text here\n11", "another and longer line\n12", "what comes last of all\n40"], Vocabulary({}), set(), set())
+    assert [sorted(x) for x in shifted.run] == [[1], [1], []]
+
+
+def test_counts_do_not_depend_on_batches(spark):
+    from rxloom.llm.scans import counted, words_of
+
+    rows = [r for r in pages(seed=7, monographs=9)]
+    rows[0][3].append("a word bro-")
+    df = frame(spark, rows)
+    got = counted(df)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert counted(df.repartition(5)) == got
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    counts, where = {}, {}
+    for _, m, _, lines in rows:
+        for line in lines:
+            w = words_of(line)
+            for x in w[:-1] if w and line.rstrip()[-1] in "-‐‑" else w:
+                counts[x] = counts.get(x, 0) + 1
+                where.setdefault(x, set()).add(m)
+    assert got == ({w: n for w, n in counts.items() if n >= 3}, {w for w, n in counts.items() if n >= 3 and len(where[w]) >= 5})
