@@ -88,13 +88,14 @@ class _Tables(HTMLParser):
         self.rows: list[tuple[int, list[str]]] = []
         self.table, self.cell = -1, None
         self.row: list[str] = []
+        self.header = True
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
             self.table += 1
         elif tag == "tr":
             self.row = []
-        elif tag in ("td", "th"):
+        elif tag == "td" or tag == "th" and self.header:
             self.cell = []
 
     def handle_data(self, data):
@@ -110,9 +111,10 @@ class _Tables(HTMLParser):
             self.row = []
 
 
-def html_rows(html: str | None) -> list[tuple[int, list[str]]]:
-    """(number of the table from 0, cell texts) of each row; broken pages give the rows that can be read."""
+def html_rows(html: str | None, header: bool = True) -> list[tuple[int, list[str]]]:
+    """(number of the table from 0, cell texts) of each row, with header cells or without; broken pages give the rows that can be read."""
     p = _Tables()
+    p.header = header
     p.feed(html or "")
     p.close()
     return p.rows
