@@ -251,12 +251,13 @@ def link_names(names: DataFrame, rows: int) -> DataFrame:
     fit = fit.withColumn("top", F.max("e").over(Window.partitionBy("name_id"))).where("e = top").groupBy("name_id").agg(F.min("root").alias("root"), F.count_distinct("root").alias("k")).where("k = 1").select("name_id", "root")
     alone = short.join(fit, "name_id", "left_anti").select("name_id", F.struct("initials", "r", "l").alias("s"))
     same_short = alone.select("name_id", F.min("name_id").over(Window.partitionBy("s")).alias("root"))
-    linked = members.select("name_id", "root").unionByName(fit).unionByName(same_short)
+    linked = cut(members.select("name_id", "root").unionByName(fit).unionByName(same_short))
     first = linked.groupBy("root").agg(F.min("name_id").alias("firm"))
     return linked.join(first, "root").select("name_id", "firm")
 
 
 def firm_pairs(linked: DataFrame) -> DataFrame:
     """All pairs of names of a firm, the smaller id first: the form in which the result is asked for."""
+    linked = cut(linked)  # read on both sides
     a, b = linked.select(F.col("name_id").alias("name_id_a"), "firm"), linked.select(F.col("name_id").alias("name_id_b"), "firm")
     return a.join(b, "firm").where("name_id_a < name_id_b").select("name_id_a", "name_id_b")
