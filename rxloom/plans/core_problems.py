@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rxloom.functions.text import amount, any_date, no_blanks, normalize_din, squeeze
 from rxloom.operators.multivalue import split_values
 from rxloom.operators.sketch_diff import compare_copies
-from rxloom.operators.snapshots import distinct_snapshots, latest_rows, snapshot_changes, with_values
+from rxloom.operators.snapshots import deliveries, latest_rows, snapshot_changes, with_values
 from rxloom.operators.units import convert_quantities, parse_quantities
 from rxloom.sources.tables import table
 
@@ -23,15 +23,15 @@ def sales_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    snapshots = distinct_snapshots(table(spark, d, "old_extract"), "snapshot_no")
-    return snapshot_changes(sales_latest(spark, d), COMPARED, snapshots, table(spark, d, "old_extract").count()).select("snapshot_no", F.col("key").alias("line_key"), "change_kind")
+    snapshots, rows = deliveries(table(spark, d, "old_extract"), "snapshot_no")
+    return snapshot_changes(sales_latest(spark, d), COMPARED, snapshots, rows).select("snapshot_no", F.col("key").alias("line_key"), "change_kind")
 
 
 def p2_changes(spark: SparkSession, d: str) -> DataFrame:
     """The differing lines with their values before and after."""
-    snapshots = distinct_snapshots(table(spark, d, "old_extract"), "snapshot_no")
+    snapshots, rows = deliveries(table(spark, d, "old_extract"), "snapshot_no")
     latest = sales_latest(spark, d)
-    return with_values(snapshot_changes(latest, COMPARED, snapshots, table(spark, d, "old_extract").count()), latest, COMPARED, snapshots).withColumnRenamed("key", "line_key")
+    return with_values(snapshot_changes(latest, COMPARED, snapshots, rows), latest, COMPARED, snapshots).withColumnRenamed("key", "line_key")
 
 
 def strength_observations(spark: SparkSession, d: str) -> DataFrame:

@@ -193,9 +193,22 @@ def test_streams(spark, tmp_path):
     assert len(drain(jobs.replayed(jobs.event_stream(spark, src, 10)), "replay")) == 31
     assert sum(r.done for r in drain(jobs.progress(jobs.event_stream(spark, src)), "progress") if r.day == t) >= 30
     out = str(tmp_path / "latest")
-    jobs.merge_into(jobs.event_stream(spark, src), out, ["user_id"], str(tmp_path / "c")).awaitTermination()
-    got = {r.user_id: r.event_id for r in spark.read.parquet(out).collect()}
+    heard: list = []
+    listener = jobs.Progress(lambda n, all_: heard.append((n, all_)))
+    spark.streams.addListener(listener)
+    jobs.merge_into(jobs.event_stream(spark, src), out, ["user_id"], str(tmp_path / "c"), buckets=2).awaitTermination()
+    got = {r.user_id: r.event_id for r in jobs.current(spark, out, jobs.EVENTS).collect()}
     assert got == {0: 99, 1: 28, 2: 29}
+    # a batch of its own touches only the bucket of its key; older events change nothing; what a failed batch left isn't read
+    before = jobs._manifest(spark, out)
+    spark.createDataFrame([(200, t + dt.timedelta(days=9), 1, "e", 1.0, "{}"), (201, t - dt.timedelta(days=9), 1, "e", 1.0, "{}")], jobs.EVENTS).coalesce(1).write.mode("append").parquet(src)
+    jobs.merge_into(jobs.event_stream(spark, src), out, ["user_id"], str(tmp_path / "c"), buckets=2).awaitTermination()
+    after = jobs._manifest(spark, out)
+    assert sum(before[b] != after[b] for b in before) == 1
+    spark.createDataFrame([(7, t, 1, "bad", 1.0, "{}")], jobs.EVENTS).write.parquet(f"{out}/bucket=0/version=999")
+    assert {r.user_id: r.event_id for r in jobs.current(spark, out, jobs.EVENTS).collect()} == {0: 99, 1: 200, 2: 29}
+    spark.streams.removeListener(listener)
+    assert heard and heard[-1][1] == sum(n for n, _ in heard) >= 41
 
 
 def test_scale_case(spark):

@@ -7,14 +7,15 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 from rxloom.functions.text import amount, any_date, normalize_din
-from rxloom.operators.snapshots import diff_arrays, distinct_snapshots, latest_rows, snapshot_changes, with_values
+from rxloom.operators.snapshots import diff_arrays, deliveries, latest_rows, snapshot_changes, with_values
 
 SCHEMA = "row_id long, line_key long, snapshot_no int, loaded_at timestamp, v string, extra string"
 
 
 def changes(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
-    order = distinct_snapshots(df, "snapshot_no")
+    order, rows = deliveries(df, "snapshot_no")
+    assert rows == df.where("snapshot_no IS NOT NULL").count()
     latest = latest_rows(df, "snapshot_no", "line_key", "loaded_at", "row_id", v=F.col("v"))
     got = snapshot_changes(latest, ["v"], order)
     return sorted((r.snapshot_no, r.key, r.change_kind) for r in got.collect()), with_values(got, latest, ["v"], order)
