@@ -528,7 +528,8 @@ def match_summary(spark: SparkSession, d: str) -> DataFrame:
     return line_matches(spark, d).groupBy("status", "confidence").agg(F.count("*").alias("n"), F.round(F.avg("top_score"), 1).alias("mean_score"))
 
 
-@query()
+@query(r"""SELECT DISTINCT company_name, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(coalesce(company_name, ''))), '[^\x00-\x7F]', '', 'g'), '[.,/&]', '', 'g'),
+ '\b(?:incorporated|inc|limited|limitee|ltee|ltd\b|llc|llp|ulc|corporation|corp|co\b|sa\b|ag\b|gmbh|plc|sencrl|senc|sec\b|pharmaceuticals|pharmaceutical|pharma\b|therapeutics|laboratoires|laboratoire|laboratories|laboratory|labs\b|lab\b|healthcare|health|canada|a division of|division|serono|consumer)', ' ', 'g'), '\s+', ' ', 'g')) AS company FROM drugproduct""".replace("\\\\", "\\"))
 def company_cores(spark: SparkSession, d: str) -> DataFrame:
     """Distinct company names only are folded; the rest joins back."""
     names = table(spark, d, "drugproduct").select("company_name").distinct()
