@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -42,3 +43,11 @@ def cut(df, eager: bool = True):
     """Materialise in the shared checkpoint folder and cut the lineage; survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def stored(df):
+    """The rows as a table in the shared folder. What is read back knows nothing of the plan that made it: for loops, in which
+    what the optimizer infers of a checkpoint would be inferred anew, and more of it, in every round."""
+    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
