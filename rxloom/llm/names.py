@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from rxloom.functions.arrow import arrow_schema
 from rxloom.llm.tries import Trie, allowed, bound_of, segments, substrings
-from rxloom.session import cut
+from rxloom.session import cut, stored
 
 #: Words of each line of business, region and legal form, English and French, with their short forms.
 BUSINESS = {
@@ -214,8 +214,13 @@ def link_names(names: DataFrame, rows: int) -> DataFrame:
     business_fits = (F.col("ba") == F.col("bb")) | (F.col("ba") == "")
     # a goes to b: b says at least as much, and is the more frequent core or, of the same core, the fuller unit
     fuller = (F.length("bb") > 0).cast("int") * 2 + (F.length("gb") > 1).cast("int") - (F.length("ba") > 0).cast("int") * 2 - (F.length("ga") > 1).cast("int")
-    goes = F.when(F.col("distance") == 0, (F.col("ua") != F.col("ub")) & ((fuller > 0) | ((fuller == 0) & ((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("ub") < F.col("ua")))))) & ((F.col("bb") != "") | (F.col("ba") == ""))).otherwise(
-        (F.col("bb") != "") & ((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a"))) | (F.col("ba") == "")) & ((F.col("na") <= 2) | (F.col("na") * 3 <= F.col("nb")))
+    # every link goes up in (has a business, frequency, key, fullness, unit), so that none leads back, whatever is linked at 0
+    up = ((F.col("ba") == "") & (F.col("bb") != "")) | ((F.col("ba") == F.col("bb")) & ((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))))
+    told = (F.col("bb") != "") | (F.col("ba") == "")
+    goes = (
+        F.when(F.col("a") == F.col("b"), (F.col("ua") != F.col("ub")) & ((fuller > 0) | ((fuller == 0) & (F.col("ub") < F.col("ua")))) & told)
+        .when(F.col("distance") == 0, up & told)
+        .otherwise((F.col("bb") != "") & up & ((F.col("na") <= 2) | (F.col("na") * 3 <= F.col("nb"))))
     )
     agree = (F.col("ra") == F.col("rb")).cast("int") * 2 + ((F.col("la") == F.col("lb")) & (F.col("la") != "")).cast("int")
     # typing leaves the region as it is or out; two errors need the region or the legal form to agree
@@ -235,10 +240,10 @@ def link_names(names: DataFrame, rows: int) -> DataFrame:
         .where("kinds = 1 AND givens <= 1")
         .select("ua", "ub")
     )
-    parent = cut(u.select(F.col("unit").alias("ua")).join(best, "ua", "left").select("ua", F.coalesce("ub", "ua").alias("root")))
+    parent = stored(u.select(F.col("unit").alias("ua")).join(best, "ua", "left").select("ua", F.coalesce("ub", "ua").alias("root")))
     while True:  # links lead to fuller or more frequent units only, so the way up has no circle; each round doubles its steps
         up = parent.select(F.col("ua").alias("root"), F.col("root").alias("next"))
-        higher = cut(parent.join(up, "root", "left").select("ua", F.coalesce("next", "root").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        higher = stored(parent.join(up, "root", "left").select("ua", F.coalesce("next", "root").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
         parent = higher.drop("moved")
         if higher.where("moved").isEmpty():
             break

@@ -89,3 +89,10 @@ def test_long_ways_up_end(spark):
         word = word[: 2 * step] + "XY"[step % 2] * 2 + word[2 * step + 2 :]
     df = spark.createDataFrame(list(enumerate(rows)), "name_id long, spelling string")
     assert link_names(df, len(rows)).select("firm").distinct().count() == 1
+
+
+def test_links_never_lead_back(spark):
+    """The same letters in another order, and an error apart: by number of the name and by spelling alone these would be a circle."""
+    rows = [(13254, "GIRUNSEN VIKWOXO BIOLOGICS LP"), (32364, "GIRNUSEN VIKWOXO BIOLOGICS LP"), (16995, "VIKWOXOGIRNUSEN BIOLOGICS LP")]
+    firms = {r.name_id: r.firm for r in link_names(spark.createDataFrame(rows, "name_id long, spelling string"), 3).collect()}
+    assert firms == dict.fromkeys((13254, 32364, 16995), 13254)
