@@ -55,8 +55,12 @@ def bare(token: str) -> str:
     return token.strip(OUTSIDE).lower()
 
 
+#: Few tokens make up most of a text.
+BARE = Memo(bare, 200_000)
+
+
 def words_of(line: str) -> list[str]:
-    return [w for w in map(bare, line.split()) if w]
+    return [w for w in map(BARE.__getitem__, line.split()) if w]
 
 
 def undo(word: str, known, most: int = 3, budget: int = 4000) -> tuple[str, int] | None:
@@ -124,7 +128,7 @@ class Vocabulary:
         """A line with numbers and unknown words masked."""
         out = []
         for token in line.split():
-            w = bare(token)
+            w = BARE[token]
             if not w:
                 continue
             if any(c.isdigit() for c in w) and NUMBERLIKE.match(w):
@@ -398,8 +402,8 @@ class Monograph:
                     tokens = tokens[:-1]
                 if (q, i) in taken:
                     tokens = tokens[1:]
-                for t in tokens:
-                    if (r := self.right(bare(t))) is not None:
+                for w in map(BARE.__getitem__, tokens):
+                    if w not in self.v.counts and (r := self.right(w)) is not None:
                         yield self.ids[p], i + 1, "char_error", r
         self.breaks = breaks
 
@@ -445,7 +449,7 @@ class Monograph:
                 yield page, line, " ".join(words)
 
     def mended(self, token: str) -> str:
-        w = bare(token)
+        w = BARE[token]
         r = self.right(w)
         if r is None:
             return token
