@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Headers that aren't the title case of their column.
 HEADERS = {"din": "DIN", "brand_name": "SKU Name"}
 #: Parts of the whole that the stages of a job take.
-STAGES = (("search", 0, 30), ("patents", 30, 55), ("labels", 55, 85), ("register", 85, 90), ("report", 90, 100))
+STAGES = (("Search", 0.00, 0.20), ("Patents", 0.20, 0.50), ("Labeling", 0.50, 0.85), ("DataProtection", 0.85, 0.90), ("Workbook", 0.90, 1.00))
 
 
 def queries(text: str | Iterable[str]) -> list[str]:
@@ -54,15 +54,15 @@ def header(column: str) -> str:
     return HEADERS.get(column, column.replace("_", " ").title())
 
 
-def stage_percent(stage: str, done: int, total: int) -> float:
-    """How far a job is: within its stage in proportion."""
+def stage_share(stage: str, done: int, total: int) -> float:
+    """How much of a job is done: within its stage in proportion."""
     low, high = next((a, b) for s, a, b in STAGES if s == stage)
-    return low + (high - low) * (done / total if total else 1.0)
+    return round(low + (high - low) * (done / total if total > 0 else 1.0), 3)
 
 
 def seconds_left(done: int, total: int, spent: float) -> float | None:
     """At the rate so far; None before anything is done."""
-    return None if not done or not spent else max(0.0, (total - done) * spent / done)
+    return None if not (done and total and spent) else round((total - done) * spent / done, 1)
 
 
 def expanded(terms: DataFrame, synonyms: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def test_requests(spark):
     assert rq.ordered_periods((2025, 1), (2024, 1)) == (True, []) and rq.ordered_periods((2024, 1), (2024, 1))[1]
     with pytest.raises(ValueError):
         rq.ordered_periods(None, (2024, 1))
-    assert rq.header("din") == "DIN" and rq.header("pack_size") == "Pack Size" and rq.stage_percent("patents", 1, 2) == 42.5 and rq.stage_percent("report", 0, 0) == 100
+    assert rq.header("din") == "DIN" and rq.header("pack_size") == "Pack Size" and rq.stage_share("Patents", 1, 2) == 0.35 and rq.stage_share("Workbook", 0, 0) == 1.0
     assert rq.seconds_left(0, 9, 1) is None and rq.seconds_left(2, 6, 4) == 8
     t = spark.createDataFrame([("Metformin",), (None,), ("zzz",)], "term string")
     s = spark.createDataFrame([("metformin", "Glucophage"), ("other", "x"), ("metformin", None)], "term string, synonym string")
