@@ -237,13 +237,14 @@ def signatures(pairs: DataFrame) -> DataFrame:
 def fit(pairs: DataFrame, rounds: int = ROUNDS) -> Mixture | None:
     """Expectation-maximisation over all pairs (a, similarities); None if there are none.
 
-    It starts from the pairs that agree in most respects and ends when the parameters stay. Each batch of signatures gives
+    It starts from the pairs that agree in most respects and ends when the parameters stay. Each partition of signatures gives
     its sums of (posterior, posterior of pairs with the similarity, first and second moments), unmatched and matched.
     """
     seen, d = cut(signatures(pairs)), len(FEATURES)
 
     def expectation(model: Mixture | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total_sums = np.zeros(2 * (1 + 3 * d))
             for b in batches:
                 lists = b.column("vectors")
                 length = np.diff(lists.offsets.to_numpy())
@@ -260,15 +261,15 @@ def fit(pairs: DataFrame, rounds: int = ROUNDS) -> Mixture | None:
                 total = 1 + np.add.reduceat(odds * k, starts)
                 p = odds / np.repeat(total, length)
                 there, z = ~np.isnan(x), np.nan_to_num(x)
-                sums = [np.concatenate(([w.sum()], w @ there, w @ z, w @ (z * z))) for w in (n * k * (1 - p), n * k * p)]
-                yield pa.RecordBatch.from_pydict({"sums": [np.concatenate(sums).tolist()]})
+                total_sums += np.concatenate([y for w in (n * k * (1 - p), n * k * p) for y in ([w.sum()], w @ there, w @ z, w @ (z * z))])
+            yield pa.RecordBatch.from_pydict({"sums": [total_sums.tolist()]})
 
         return run
 
     model = None
     for _ in range(rounds):
         row = np.zeros((2, 1 + 3 * d))
-        for r in seen.mapInArrow(expectation(model), "sums array<double>").toLocalIterator():
+        for r in seen.mapInArrow(expectation(model), "sums array<double>").collect():  # one row a partition
             row += np.array(r.sums).reshape(2, -1)
         mass, there = row[:, 0], np.maximum(row[:, 1 : d + 1], 1e-9)
         if mass.min() < 1e-6:
