@@ -163,19 +163,42 @@ def edges(lines: list[str]) -> list[int]:
     return sorted({*full[:EDGE], *full[-EDGE:]})
 
 
+#: A word that a line's end breaks; it doesn't count.
+BROKEN = re.compile(rf"\S*[{re.escape(HYPHENS)}][^\S\n]*(?=\n|$)")
+#: Monographs that a word must be in to be common.
+SEVERAL = 5
+
+
 def counted(pages: DataFrame) -> tuple[dict[str, int], set[str]]:
     """Frequent words with their counts, and those of them that several monographs use.
 
-    A line's last word counts only if the line doesn't break it. All in built-in functions; monographs are counted exactly.
+    Of each word a batch gives the SEVERAL least monographs; the least of all are among them, so whether a word has as many
+    doesn't depend on batches.
     """
-    whole = F.regexp_replace("text", rf"(?m)\S*[{re.escape(HYPHENS)}][^\S\n]*$", " ")
-    words = pages.select("monograph_id", F.explode(F.split(whole, r"(?U)\s+")).alias("w")).select("monograph_id", F.lower(F.btrim("w", F.lit(OUTSIDE))).alias("word")).where("word <> ''")
-    by_monograph = words.groupBy("word", "monograph_id").agg(F.count("*").alias("n"))
-    table = cut(by_monograph.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("docs")))
+    schema = pa.schema([("word", pa.string()), ("monograph_id", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c: Counter = Counter()
+            of: dict[str, list[int]] = {}
+            for g, t in zip(b.column("monograph_id").to_pylist(), b.column("text").to_pylist()):
+                words = list(filter(None, map(BARE.__getitem__, BROKEN.sub(" ", t).split())))
+                c.update(words)
+                for w in set(words):
+                    some = of.get(w)
+                    if some is None:
+                        of[w] = [g]
+                    elif g not in some and (len(some) < SEVERAL or g < some[-1]):
+                        of[w] = sorted([*some, g])[:SEVERAL]
+            rows = [(w, g, c[w] if k == 0 else 0) for w, some in of.items() for k, g in enumerate(some)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+
+    found = pages.select("monograph_id", "text").mapInArrow(run, "word string, monograph_id long, n long")
+    table = cut(found.groupBy("word", "monograph_id").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("docs")))
     total = table.agg(F.sum("n")).first()[0] or 0
     # at most 1 / FREQUENCY words
     rows = table.where(F.col("n") >= max(3, total * FREQUENCY)).collect()
-    return {r[0]: r[1] for r in rows}, {r[0] for r in rows if r[2] >= 5}
+    return {r[0]: r[1] for r in rows}, {r[0] for r in rows if r[2] >= SEVERAL}
 
 
 def vocabulary_of(pages: DataFrame) -> Vocabulary:
