@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from difflib import SequenceMatcher, get_close_matches
 from fractions import Fraction
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
@@ -36,6 +38,51 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio() * 100 if a and b else 0.0
 
 
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, which the matching blocks of a ratio never exceed; bits stand for the places of a."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = left = (1 << len(a)) - 1
+    for c in b:
+        u = left & at.get(c, 0)
+        left = (left + u | left - u) & full
+    return len(a) - left.bit_count()
+
+
+def reaches(a: str, b: str, least: float) -> bool:
+    """ratio(a, b) >= least, for a least above 0; the ratio itself is taken only where its bounds allow that."""
+    n = len(a) + len(b)
+    return bool(a and b) and all(2.0 * m() / n * 100 >= least for m in (lambda: min(len(a), len(b)), lambda: common(a, b))) and ratio(a, b) >= least
+
+
+def _letters(s: str) -> int:
+    """Two bits a letter, for one and for more of it; what is no letter shares six classes."""
+    bits = 0
+    for c in s:
+        k = 2 * (ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 6)
+        bits |= 2 << k if bits >> k & 1 else 1 << k
+    return bits
+
+
+class Alike:
+    """Distinct texts; those that may be like another are met by falling bound of the ratio, from lengths and letters."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.n = np.array([len(t) for t in texts], np.int64)
+        self.bits = np.array([_letters(t) for t in texts], np.uint64)
+
+    def to(self, text: str, least: float) -> Iterator[tuple[float, str]]:
+        """(bound, text) of every text whose ratio to the given one may be the least, which is above 0."""
+        own = np.uint64(_letters(text))
+        m = np.minimum(self.n - np.bitwise_count(self.bits & ~own), len(text) - np.bitwise_count(~self.bits & own).astype(np.int64))
+        bound = 2.0 * m / np.maximum(self.n + len(text), 1) * 100
+        at = np.flatnonzero(bound >= least)
+        for i in at[np.argsort(-bound[at], kind="stable")]:
+            yield float(bound[i]), self.texts[i]
+
+
 @lru_cache(50_000)
 def company_core(s: str | None) -> str:
     """Lower-case ASCII without punctuation and company words."""

@@ -3,10 +3,15 @@
 For every pair the brand is weighed anew, and rivals with the same strengths are looked for on either side:
 a product of the group's company whose brand fits the group better, a group of the product's company whose brand fits
 the product better. Groups and products are co-grouped like in the matcher, so that all rivals of a pair are at hand.
+Only the best rival counts, and only if it is good enough: it is looked for by bounds of the brand's likeness, and
+companies are compared where the brand could do.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+from functools import lru_cache
 from itertools import combinations
 
 import pandas as pd
@@ -14,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rxloom.functions.names import brand_identity
-from rxloom.functions.similarity import GENERIC_FILLERS, company_core, ratio, strength_key_udf, truncated_brand
+from rxloom.functions.similarity import GENERIC_FILLERS, Alike, common, company_core, ratio, reaches, strength_key_udf, truncated_brand
 from rxloom.operators.matcher import LEAST_COMPANY, MARGIN, PRODUCT_SEPARATORS, SOLD_SEPARATORS, generic_brand, with_keys
 
 #: A brand below the floor was matched on the company; a rival must be this good itself.
@@ -30,23 +35,63 @@ def better(own: float, rivals: list[tuple[float, str]]) -> tuple[float, str] | N
     return None
 
 
-def audit_pair(g: dict, p: dict, groups: list[dict], products: list[dict]) -> tuple:
+@lru_cache(200_000)
+def akin(product: str, group: str) -> bool:
+    return reaches(product, group, LEAST_COMPANY)
+
+
+class Rivals:
+    """One side of a co-group by brand and by company."""
+
+    def __init__(self, rows: list[dict], name: str):
+        self.name, self.by = name, {}
+        for r in sorted(rows, key=lambda r: r[name], reverse=True):
+            self.by.setdefault(r["brand"], []).append(r)
+        self.brands, self.sizes = Alike([b for b in self.by if b]), Counter(r["company"] for r in rows if r["company"])
+        self.companies = Alike(list(self.sizes))
+
+    def best(self, own: float, brand: str, like: Callable[[str, str], float], fits: Callable[[dict], bool]) -> list[tuple[float, str]]:
+        """Likeness and name of the likest row that fits, the last by name, if better() may take it. like: of a brand here and the given one."""
+        if own >= EXACT or not brand:
+            return []
+        top: tuple[float, str] | None = None
+        floor = min(EXACT, max(RIVAL_LEAST, own + MARGIN)) - 1e-9
+        for bound, b in self.brands.to(brand, floor):
+            if bound < floor:
+                break
+            if 2.0 * common(b, brand) / (len(b) + len(brand)) * 100 < floor or (r := next((x for x in self.by[b] if fits(x)), None)) is None:
+                continue
+            if (x := like(b, brand)) >= floor and (top is None or (x, r[self.name]) > top):
+                top, floor = (x, r[self.name]), x
+        return [top] if top else []
+
+    def alone(self, company: str) -> bool:
+        """Just one row has a company akin to this one."""
+        n = 0
+        for _, c in self.companies.to(company, LEAST_COMPANY):
+            n += self.sizes[c] if akin(c, company) else 0
+            if n > 1:
+                return False
+        return n == 1
+
+
+def audit_pair(g: dict, p: dict, groups: Rivals | list[dict], products: Rivals | list[dict]) -> tuple:
+    groups, products = (x if isinstance(x, Rivals) else Rivals(x, n) for x, n in ((groups, "product"), (products, "din")))
     brand, company = ratio(p["brand"], g["brand"]), ratio(p["company"], g["company"])
     flags, rival, score = [], [], 0.0
     if brand < BRAND_FLOOR:
         flags.append("company_carried")
         score += BRAND_FLOOR - brand
-    akin = [o for o in products if ratio(o["company"], g["company"]) >= LEAST_COMPANY]
-    if b := better(brand, [(ratio(o["brand"], g["brand"]), o["din"]) for o in akin if o["din"] != p["din"]]):
+    if b := better(brand, products.best(brand, g["brand"], ratio, lambda o: o["din"] != p["din"] and akin(o["company"], g["company"]))):
         flags.append("better_product")
         rival.append(b[1])
         score += b[0] - brand
-    if b := better(brand, [(ratio(p["brand"], o["brand"]), o["product"]) for o in groups if o is not g and ratio(p["company"], o["company"]) >= LEAST_COMPANY]):
+    if b := better(brand, groups.best(brand, p["brand"], lambda x, y: ratio(y, x), lambda o: o is not g and akin(p["company"], o["company"]))):
         flags.append("better_group")
         rival.append(b[1])
         score += b[0] - brand
     # a weak brand alone is no evidence where the company has no other product and the label is general or cut short
-    forced = flags == ["company_carried"] and len(akin) == 1 and (generic_brand(g["brand"], g["molecule"], GENERIC_FILLERS) or truncated_brand(g["brand"], p["brand"]))
+    forced = flags == ["company_carried"] and (generic_brand(g["brand"], g["molecule"], GENERIC_FILLERS) or truncated_brand(g["brand"], p["brand"])) and products.alone(g["company"])
     return p["din"], g["product"], g["manufacturer"], round(brand, 1), round(company, 1), ",".join(flags), ",".join(rival), round(score, 1), "low" if forced else "high" if flags else "none"
 
 
@@ -61,7 +106,8 @@ def audit_matches(matched: DataFrame, sold: DataFrame, products: DataFrame) -> D
     pairs = matched.where("din <> ''").select(*[F.col(k).alias(f"m_{k}") for k in keys], "din")
     g = g.join(pairs, [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys], "left").drop(*[f"m_{k}" for k in keys])
     p = with_keys(products, "strength", "ingredient", PRODUCT_SEPARATORS).withColumn("brand", brand_identity(F.col("brand_name")))
-    bucket = F.pmod(F.xxhash64("skey"), F.lit(8 * int(sold.sparkSession.conf.get("spark.sql.shuffle.partitions")))).alias("bucket")
+    tasks = int(sold.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64("skey"), F.lit(8 * tasks)).alias("bucket")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -71,11 +117,12 @@ def audit_matches(matched: DataFrame, sold: DataFrame, products: DataFrame) -> D
                 continue
             groups = [{"product": r.product, "manufacturer": r.manufacturer, "brand": r.brand, "company": company_core(r.manufacturer), "molecule": r.combined_molecule, "din": r.din} for r in part.itertuples()]
             options = [{"din": r.din, "brand": r.brand, "company": company_core(r.company)} for r in by[k].itertuples()]
-            of = {o["din"]: o for o in options}
-            out += [audit_pair(x, of[x["din"]], groups, options) for x in groups if x["din"] in of]
+            of, sides = {o["din"]: o for o in options}, (Rivals(groups, "product"), Rivals(options, "din"))
+            out += [audit_pair(x, of[x["din"]], *sides) for x in groups if x["din"] in of]
         return pd.DataFrame(out, columns=[f.split()[0] for f in AUDIT.split(", ")])
 
-    left, right = g.select(bucket, "skey", "din", "brand", *keys), p.select(bucket, "skey", "din", "brand", "company")
+    # few bytes, much work: partitions of a given number are not coalesced by their size
+    left, right = (d.repartition(tasks, "bucket") for d in (g.select(bucket, "skey", "din", "brand", *keys), p.select(bucket, "skey", "din", "brand", "company")))
     return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(run, AUDIT)
 
 

@@ -244,3 +244,61 @@ def test_audit(spark):
     got = {r.din: r for r in audit_matches(wrong, sold, products).collect()}
     assert got["1"].flags == "better_product" and got["1"].rival == "2" and got["3"].flags == "" and got["3"].tier == "none" and len(got) == 2
     assert audit_matches(wrong.limit(0), sold, products).count() == 0
+
+
+def test_audit_rivals():
+    """The best rivals are those of all pairs compared, ties, own rows and empty texts included, and few ratios are taken for them."""
+    import random
+
+    import rxloom.operators.audit as audit
+    from rxloom.functions.similarity import Alike, common, reaches
+
+    rnd = random.Random(7)
+    text = lambda n: "".join(rnd.choice("abcé-1 ") for _ in range(rnd.randint(0, n)))
+    for a, b in [(text(12), text(12)) for _ in range(2000)] + [("ab" * 150, "ab" * 150), ("a" * 300, "a" * 299)]:
+        least = rnd.choice([30, 55, 100 * 2 / 3, 100])
+        r = ratio(a, b)
+        assert reaches(a, b, least) == (r >= least)
+        assert r <= 200 * common(a, b) / max(1, len(a) + len(b)) + 1e-9
+        assert r < least or b in [t for _, t in Alike([a, b]).to(a, least)]
+    firm, brand = [text(9) for _ in range(12)], [text(10) for _ in range(150)]
+    groups = [{"product": f"P{i % 40}", "manufacturer": "M", "brand": rnd.choice(brand), "company": rnd.choice(firm), "molecule": "ab c"} for i in range(300)]
+    products = [{"din": str(i), "brand": rnd.choice(brand), "company": rnd.choice(firm)} for i in range(250)]
+
+    def brute(g, p):
+        own = ratio(p["brand"], g["brand"])
+        akin = [o for o in products if ratio(o["company"], g["company"]) >= 55]
+        one = audit.better(own, [(ratio(o["brand"], g["brand"]), o["din"]) for o in akin if o["din"] != p["din"]])
+        two = audit.better(own, [(ratio(p["brand"], o["brand"]), o["product"]) for o in groups if o is not g and ratio(p["company"], o["company"]) >= 55])
+        flags = ["company_carried"] * (own < 72) + ["better_product"] * bool(one) + ["better_group"] * bool(two)
+        forced = flags == ["company_carried"] and len(akin) == 1 and (audit.generic_brand(g["brand"], g["molecule"], audit.GENERIC_FILLERS) or audit.truncated_brand(g["brand"], p["brand"]))
+        return ",".join(flags), ",".join(x[1] for x in (one, two) if x), "low" if forced else "high" if flags else "none"
+
+    sides = audit.Rivals(groups, "product"), audit.Rivals(products, "din")
+    pairs = [(g, rnd.choice(products)) for g in groups]
+    got = [audit.audit_pair(g, p, *sides) for g, p in pairs]
+    assert [(r[5], r[6], r[8]) for r in got] == [brute(g, p) for g, p in pairs]
+    assert {r[5] for r in got} >= {"company_carried,better_product", "company_carried,better_group"}
+
+
+def test_audit_work(monkeypatch):
+    """2,000 groups and products of one strength with brands of their own: a few ratios a pair, not one with every rival."""
+    import random
+
+    import rxloom.operators.audit as audit
+    import rxloom.functions.similarity as similarity
+
+    rnd, taken = random.Random(1), [0]
+    word = lambda n: "".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(n))
+
+    def counted(a, b):
+        taken[0] += 1
+        return ratio(a, b)
+
+    monkeypatch.setattr(audit, "ratio", counted)
+    monkeypatch.setattr(similarity, "ratio", counted)
+    products = [{"din": str(i), "brand": word(5), "company": word(6)} for i in range(2000)]
+    groups = [{"product": p["brand"], "manufacturer": p["company"], "brand": p["brand"] if i % 2 else p["brand"][:6], "company": p["company"], "molecule": "x"} for i, p in enumerate(products)]
+    sides = audit.Rivals(groups, "product"), audit.Rivals(products, "din")
+    assert len([audit.audit_pair(g, p, *sides) for g, p in zip(groups[:200], products)]) == 200
+    assert taken[0] < 20 * 200
