@@ -99,19 +99,20 @@ def audit_matches(matched: DataFrame, sold: DataFrame, products: DataFrame) -> D
     """One row per matched pair with similarities, flags, rivals, suspicion and tier.
 
     matched: combined_molecule, product, manufacturer, strength, din of matched groups; sold and products as for the
-    matcher. Pairs whose strengths differ have no common rivals and are left out. Empty tables give no rows.
+    matcher. Pairs whose strengths differ have no common rivals and are left out. Groups without a product are rivals only;
+    products without a number are none; of rows with the same din the first by brand is the pair's. Empty tables give no rows.
     """
     keys = ["combined_molecule", "product", "manufacturer", "strength"]
     g = with_keys(sold.select(*keys).distinct(), "strength", "combined_molecule", SOLD_SEPARATORS).withColumn("brand", brand_identity(F.col("product")))
     pairs = matched.where("din <> ''").select(*[F.col(k).alias(f"m_{k}") for k in keys], "din")
     g = g.join(pairs, [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys], "left").drop(*[f"m_{k}" for k in keys])
-    p = with_keys(products, "strength", "ingredient", PRODUCT_SEPARATORS).withColumn("brand", brand_identity(F.col("brand_name")))
+    p = with_keys(products.where("trim(din) <> ''"), "strength", "ingredient", PRODUCT_SEPARATORS).withColumn("brand", brand_identity(F.col("brand_name")))
     tasks = int(sold.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucket = F.pmod(F.xxhash64("skey"), F.lit(8 * tasks)).alias("bucket")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        by = dict(iter(right.fillna("").groupby("skey", sort=False)))
+        by = dict(iter(right.fillna("").sort_values("brand_name", ascending=False).groupby("skey", sort=False)))
         for k, part in left.fillna("").groupby("skey", sort=False):
             if k not in by or not (part["din"] != "").any():
                 continue
@@ -122,7 +123,7 @@ def audit_matches(matched: DataFrame, sold: DataFrame, products: DataFrame) -> D
         return pd.DataFrame(out, columns=[f.split()[0] for f in AUDIT.split(", ")])
 
     # few bytes, much work: partitions of a given number are not coalesced by their size
-    left, right = (d.repartition(tasks, "bucket") for d in (g.select(bucket, "skey", "din", "brand", *keys), p.select(bucket, "skey", "din", "brand", "company")))
+    left, right = (d.repartition(tasks, "bucket") for d in (g.select(bucket, "skey", "din", "brand", *keys), p.select(bucket, "skey", "din", "brand", "brand_name", "company")))
     return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(run, AUDIT)
 
 

@@ -302,3 +302,14 @@ def test_audit_work(monkeypatch):
     sides = audit.Rivals(groups, "product"), audit.Rivals(products, "din")
     assert len([audit.audit_pair(g, p, *sides) for g, p in zip(groups[:200], products)]) == 200
     assert taken[0] < 20 * 200
+
+
+def test_audit_unmatched(spark):
+    """A group that has no product is no pair, whatever products lack a number; those aren't named as rivals. Of a repeated number the first brand counts."""
+    from rxloom.operators.audit import audit_matches
+
+    sold = spark.createDataFrame([("MOLX", "PMS-MOLX", "PMS", "10MG", "1"), ("MOLX", "LONE", "APOTEX", "10MG", None), ("MOLY", "ABA", "TEVA", "5MG", "4")], "combined_molecule string, product string, manufacturer string, strength string, din string")
+    rows = [("1", "MOLX", "PRZ-MOLX", "PMS INC", "10 MG"), (None, "MOLX", "PMS-MOLX", "PMS INC", "10 MG"), (" ", "MOLX", "PMS-MOLX", "PMS INC", "10 MG"), ("4", "MOLY", "ZZZ", "TEVA", "5 MG"), ("4", "MOLY", "ABA", "TEVA", "5 MG"), ("4", "MOLY", "QQQ", "TEVA", "5 MG")]
+    products = spark.createDataFrame([(*r, "marketed") for r in rows], "din string, ingredient string, brand_name string, company string, strength string, status string")
+    got = {r.din: (r.product, r.brand_sim, r.flags, r.rival) for r in audit_matches(sold, sold, products).collect()}
+    assert set(got) == {"1", "4"} and got["4"] == ("ABA", 100.0, "", "") and got["1"][2:] == ("", "")
