@@ -49,7 +49,8 @@ def group_order(df: DataFrame, query: str, label: str, count: str) -> DataFrame:
 
 def suspicious_order(audit: DataFrame) -> DataFrame:
     """The high tier before the low one, each by falling suspicion; what isn't suspicious is left out."""
-    return audit.where("suspicion > 0").orderBy((F.col("tier") != "high").cast("int"), F.desc("suspicion"), "din")
+    # the shuffle keeps the rows of the audit: the order reads its input twice
+    return audit.where("suspicion > 0").repartition("din").orderBy((F.col("tier") != "high").cast("int"), F.desc("suspicion"), "din")
 
 
 def stamped(sheet: DataFrame, found: DataFrame, key: str, order: list[Column], metrics: list[str]) -> DataFrame:

@@ -138,3 +138,20 @@ def test_values_of_products_are_groups_or_sums(spark):
 def test_first_date(spark, text, want):
     got = spark.createDataFrame([(text,)], "t string").select(N.first_iso_date(F.col("t")).alias("d")).first().d
     assert (got and got.isoformat()) == want
+
+
+def test_suspicious_order_once(spark):
+    """The order samples its input first; the audit is not made anew for that."""
+    made = spark.sparkContext.accumulator(0)
+
+    def audited(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    schema = "din string, suspicion double, tier string"
+    rows = [(f"{i:03d}", float(i % 7), "high" if i % 2 else "low") for i in range(200)]
+    found = spark.createDataFrame(rows, schema).repartition(4).mapInPandas(audited, schema)
+    got = [(r.tier != "high", -r.suspicion, r.din) for r in reports.suspicious_order(found).collect()]
+    assert got == sorted(got) and len(got) == sum(r[1] > 0 for r in rows)
+    assert made.value == 200
